@@ -31,6 +31,12 @@ def p6_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FIELD = r'(?:"[^"]*(?:""[^"]*)*"|[^,"][^,]*|)'
 
+
+
+def _trim(c: str) -> str:
+    return rf"regexp_replace({c}, '^[\s\p{{Z}}\x{{FEFF}}\x{{200B}}]+|[\s\p{{Z}}\x{{FEFF}}\x{{200B}}]+$', '', 'g')"
+
+
 P5_SQL = rf"""
 WITH t AS (SELECT raw_id, regexp_replace(raw_text, '\r?\n?$', '') AS t FROM csv_raw WHERE raw_text IS NOT NULL),
 h AS (SELECT *, lower(regexp_replace(trim(regexp_extract(t, '^[\x{{FEFF}}\s]*("(?:[^"]|"")*"|[^,]*)', 1), E' \t\n\r"'), '^[xv]\s+', '')) AS first FROM t),
@@ -38,9 +44,9 @@ r AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS sound FROM h
       WHERE regexp_replace(t, '[\s,;|"]', '', 'g') <> '' AND first NOT LIKE '#%' AND first NOT LIKE 'vd%' AND first <> 'id'),
 f AS (SELECT *, [CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END for x in regexp_extract_all(',' || t, '(?s),({_FIELD})', 1)] AS f FROM r),
 d AS (SELECT raw_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(f) <> 12 THEN 'column_count'
-  WHEN lower(trim(f[3], E' \t\n\r')) NOT IN ('single_hop', 'multi_hop', 'global') THEN 'query_type'
-  WHEN trim(f[8], E' \t\n\r') <> '' AND NOT regexp_full_match(trim(f[8], E' \t\n\r'), '[0-9]+') THEN 'gold_hop_count'
-  WHEN trim(f[4], E' \t\n\r') = '' THEN 'ground_truth_answer' END AS reason FROM f)
+  WHEN lower({_trim('f[3]')}) NOT IN ('single_hop', 'multi_hop', 'global') THEN 'query_type'
+  WHEN {_trim('f[8]')} <> '' AND NOT regexp_full_match({_trim('f[8]')}, '[0-9]+') THEN 'gold_hop_count'
+  WHEN {_trim('f[4]')} = '' THEN 'ground_truth_answer' END AS reason FROM f)
 SELECT raw_id, reason FROM d WHERE reason IS NOT NULL"""
 
 
