@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import preparation
+from graphloom.plans import graph_queries, preparation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [preparation]
+MODULES = [preparation, graph_queries]
 
 
 def queries() -> dict[str, Query]:
