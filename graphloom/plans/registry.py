@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.plans import graph_queries, preparation
+from graphloom.plans import evaluation_queries, graph_queries, ingest_queries, preparation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = [preparation, graph_queries]
+MODULES = [preparation, graph_queries, ingest_queries, evaluation_queries]
 
 
 def queries() -> dict[str, Query]:
