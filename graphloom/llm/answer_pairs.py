@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,18 +97,32 @@ VIET_PLAIN = frozenset("cua duoc nhung voi nguoi khong phai trong cac mot khi ho
 _SCRIPTS = [("ja", re.compile(r"[ぁ-ゖァ-ヺ]")), ("ko", re.compile(r"[가-힣]")), ("zh", re.compile(r"[㐀-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]"))]
 
 
+class _Seen(dict[int, object]):
+    """str.translate table that drops format characters, filled as code points turn up."""
+
+    def __missing__(self, cp: int) -> object:
+        self[cp] = None if unicodedata.category(chr(cp)) == "Cf" else cp
+        return self[cp]
+
+
+_SEEN = _Seen()
+
+
+@lru_cache(maxsize=1024)
 def tidy(text: str | None) -> str:
     """One Unicode form, no markup, no outer space; the letter case stays."""
     if not text:
         return ""
-    import unicodedata
-
-    t = unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text)))
-    return "".join(c for c in t if unicodedata.category(c) != "Cf").strip()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text).translate(_SEEN)
+    if "<" in text or "&" in text:
+        text = unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text))).translate(_SEEN)
+    return text.strip()
 
 
-def plain(text: str) -> list[str]:
-    return [fold(w) for w in words(text)]
+@lru_cache(maxsize=1024)
+def plain(text: str) -> tuple[str, ...]:
+    return tuple(fold(w) for w in words(text))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -140,6 +155,8 @@ def is_copy(question: str | None, answer: str | None) -> bool:
         return True
     known = set(q)
     said = [w for w in a if w not in known]
+    if sum(w not in ECHO for w in said) > max(2, len(q) // 5) + 3:
+        return False  # more than slips and torn words could explain
     slips = [w for w in said if w not in ECHO and any(_near(w, k) for k in known)]
     # two or three words run together, or a word torn apart, still spell the question
     rest = [w for w in said if w not in ECHO and w not in slips]
@@ -205,6 +222,7 @@ def _answers_after_colon(spoken: str) -> bool:
     return not _REFUSAL.search(re.sub(r"[^\w\s]+", " ", tail)) and len(tail.split()) > 2
 
 
+@lru_cache(maxsize=1024)
 def spoken_language(text: str) -> str:
     """The language of a text, '' if names and terms are all there is."""
     n = sum(c.isalpha() for c in text)
