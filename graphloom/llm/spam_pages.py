@@ -50,8 +50,9 @@ FAR = 3.0
 #: Languages with fewer texts are measured against all texts together.
 LEAST_TEXTS = 50
 
-_LINK = re.compile(r"https?:|www\.|\w\.(?:example|test|invalid|com|vn|org|net|info|edu|io)\b|</?\w+", re.I)
-_MARK = re.compile(r"[#|;,•▪·/–—:\n]|\bsku\b|\d\s?(?:đ|vnd|usd|€|\$)|(?<=\s)[-*+](?=\s)", re.I)
+_LINK = re.compile(r"[hH][tT][tT][pP][sS]?:|[wW][wW][wW]\.|\.(?:example|test|invalid|com|vn|org|net|info|edu|io)\b|</?\w+")
+_SIGNS = "#|;,•▪·/–—:\n"
+_LABEL = re.compile(r"\b[sS][kK][uU]\b|\d\s?(?:đ|vnd|VND|usd|USD|€|\$)|(?<=\s)[-*+](?=\s)")
 _SPLIT = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])|\n+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺ]")
@@ -70,9 +71,9 @@ def plain_text(text: str) -> str:
 def language(text: str, ws: list[str]) -> str:
     """vi, en, fr, ja, other (another script) or unknown, from the text itself: declared languages are often wrong."""
     n = len(text) or 1
-    if len(_KANA.findall(text)) > 0.1 * n:
+    if _KANA.search(text) and len(_KANA.findall(text)) > 0.1 * n:
         return "ja"
-    if len(_OTHER.findall(text)) > 0.3 * n:
+    if _OTHER.search(text) and len(_OTHER.findall(text)) > 0.3 * n:
         return "other"
     if len(_VIET.findall(text)) > 0.02 * n:
         return "vi"
@@ -83,40 +84,44 @@ def language(text: str, ws: list[str]) -> str:
     return "vi" if best == "vi_plain" else best
 
 
-def is_sentence(segment: str) -> bool:
-    """Whether a line or sentence says something: two different function words of one language, and no link."""
-    if len(_KANA.findall(segment)) >= 4:
-        return len(_HIRA.findall(segment)) >= 0.2 * len(segment)
-    if len(_OTHER.findall(segment)) > 0.3 * len(segment):
-        return True
-    ws = words(segment)
-    if len(ws) < 4 or _LINK.search(segment):
+def is_sentence(segment: str, ws: list[str], latin: bool = False) -> bool:
+    """Whether a line or sentence (ws: its words) says something: two different function words of one language, and no link. latin: no other script is in it."""
+    if not latin:
+        if len(_KANA.findall(segment)) >= 4:
+            return len(_HIRA.findall(segment)) >= 0.2 * len(segment)
+        if len(_OTHER.findall(segment)) > 0.3 * len(segment):
+            return True
+    if len(ws) < 4:
         return False
+    kinds = set(ws)
     for known in FUNCTION_WORDS.values():
-        hit = [w for w in ws if w in known]
-        if len(hit) >= 0.06 * len(ws) and len(set(hit)) >= 2:
-            return True
+        hit = kinds & known
+        if len(hit) >= 2 and sum(map(hit.__contains__, ws)) >= 0.06 * len(ws):
+            return not _LINK.search(segment)
     return False
 
 
 def features(text: str | None) -> tuple[str, int, list[float]]:
     """(language, number of words, the five features) of a text; null is as empty."""
     t = plain_text(text or "")
-    ws = words(t)
+    segments = [s for s in _SPLIT.split(t) if s and not s.isspace()]
+    by_segment = [words(s) for s in segments]
+    ws = [w for part in by_segment for w in part]
     lang = language(even(t), ws)
     if lang == "ja" or lang == "other":
         ws = [c for w in ws for c in (w if len(w) > 1 and _OTHER.search(w) or _KANA.search(w) else [w])]
     n = len(ws)
     if not n:
         return lang, 0, [0.0] * len(FEATURES)
-    segments = [s for s in _SPLIT.split(t) if s and not s.isspace()]
     size = sum(map(len, segments)) or 1
-    prose = sum(len(s) for s in segments if is_sentence(s)) / size
+    latin = not _KANA.search(t) and not _OTHER.search(t)
+    prose = sum(len(s) for s, w in zip(segments, by_segment) if is_sentence(s, w, latin)) / size
     runs = list(zip(ws, ws[1:], ws[2:]))
     repetition = 1 - len(set(runs)) / len(runs) if runs else 0.0
     counts = Counter(ws)
-    entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
-    marks = (len(_LINK.findall(t)) + len(_MARK.findall(t))) / n
+    sizes = Counter(counts.values())  # words of one count add the same
+    entropy = -sum(k * c / n * math.log(c / n) for c, k in sizes.items()) / math.log(n) if n > 1 else 1.0
+    marks = (len(_LINK.findall(t)) + sum(map(t.count, _SIGNS)) + len(_LABEL.findall(t))) / n
     known = FUNCTION_WORDS.get(lang)
     function = 1.0 if known is None else sum(w in known or w in FUNCTION_WORDS["vi_plain"] and lang == "vi" for w in ws) / n
     return lang, n, [1 - prose, repetition, 1 - entropy, marks, 1 - function]
