@@ -51,7 +51,8 @@ def _first(c: Column) -> Column:
 
 def not_a_record(c: Column) -> Column:
     """Header, comment, example and blank lines: neither loaded nor rejected."""
-    blank = ~c.rlike(rf'(?!{_WS})[^,;|"]')
+    nothing = rf'(?:"{_WS}*+"|(?:{_WS}|[;|])*+)'  # a field of nothing but space and separators, or an empty quoted one
+    blank = c.rlike(rf"\A{nothing}(?:,{nothing})*+\z")
     # the first field is named once, inside the lambda, so that it is read once
     mark = F.exists(F.array(_first(c)), lambda f: f.startswith("#") | f.startswith("vd") | (f == "id"))
     return c.isNull() | blank | mark
