@@ -237,7 +237,7 @@ def spoken_language(text: str) -> str:
     raw = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text)
     # capitals inside a sentence are names and terms
     own = [even(w) for i, w in enumerate(raw) if w.islower() or (i == 0 and w[1:].islower())]
-    if len(own) < 3:
+    if len(set(own)) < 3:
         return ""
     votes = {k: len({w for w in own if w in v}) for k, v in COMMON.items()}
     syllables = sum(bool(_SYLLABLE.match(fold(w))) for w in own) / len(own)
