@@ -89,7 +89,7 @@ def person_tokens(name: str | None, is_key: bool = False) -> list[str]:
         dotted = re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]?\.?", w)
         plain = [fold(even(x)) for x in re.findall(r"[^\W_]+", w)]
         joined = "".join(plain)
-        if not joined:
+        if not joined or joined.isdigit():  # keys of names that occur again are numbered
             continue
         if joined in TITLES or (joined in ("gsts", "pgsts")) or (len(plain) > 1 and all(p in TITLES for p in plain)):
             continue
@@ -128,8 +128,12 @@ def skill_tokens(name: str | None, tools: frozenset[str], phrases: dict[str, str
         tool = _tool(" ".join(out[-k:]), tools) if len(out) > k else ""
         if tool:
             out = out[:-k]
-            if not titled and len(out) > 2 and (out[-1] in CONNECTORS or untyped(out[-1]) in CONNECTORS or _slip(out[-1], "bang")):
-                out = out[:-1]
+            if not titled and len(out) > 2:
+                last = untyped(out[-1])
+                if last in CONNECTORS or _slip(last, "bang"):
+                    out = out[:-1]
+                elif last.endswith("bang") and len(last) > 5:  # run together with the word before
+                    out = [*out[:-1], last[:-4]]
             break
     for k in (3, 2, 1):  # "<tool> - ..."
         if not tool and len(out) > k + 1:
@@ -145,7 +149,8 @@ def _tool(phrase: str, tools: frozenset[str]) -> str:
 
 
 def _slip(a: str, b: str) -> bool:
-    return a != b and osa(a, b, 1) <= 1
+    """b mistyped: one edit, or two if that makes no word."""
+    return a != b and (osa(a, b, 1) <= 1 or (not is_syllable(a) and a[:1] == b[0] and osa(a, b, 2) <= 2))
 
 
 def osa(a: str, b: str, most: int = 2) -> int:

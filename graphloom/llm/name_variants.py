@@ -28,7 +28,7 @@ from graphloom.session import cut
 #: A token is well known from this share of all forms, and from this many.
 KNOWN_SHARE, KNOWN_LEAST = 0.0015, 3
 SAME, SHORT = 1, 2
-LEAST_JW, LEAST_JW_TWO = 0.7, 0.85
+LEAST_JW, LEAST_JW_TWO, LEAST_JW_RARE = 0.7, 0.85, 0.5
 #: How many times rarer a form must be to be taken for a slip of another though all its tokens are well known.
 RARER = 8
 
@@ -70,6 +70,8 @@ def lookups_of(tokens: list[str], known: list[bool], persons: bool) -> list[str]
         out.update(" ".join(sorted(codes[:i] + codes[i + 1 :])) for i in range(len(codes)))
     if len(solid) >= 2:
         out.add(" ".join(sorted(solid)))
+    if not persons and 5 <= len(solid) < len(codes):  # one slip that is seen and one that gave another well-known word
+        out.update(" ".join(sorted(solid[:i] + solid[i + 1 :])) for i in range(len(solid)))
     if persons:
         initials = "".join(sorted(t[1] for t in tokens if t[0] == "~"))
         out.update(f"1 {code(t)}" for t in full if len(t) > 5 and not is_syllable(t))
@@ -102,12 +104,15 @@ def compare(a: list[str], ka: list[bool], na: int, b: list[str], kb: list[bool],
     initials = [t for t in la if t[0] == "~"]
     if not initials and not any(t[0] == "~" for t in lb):
         rarer = (shared >= 4 or (shared == 3 and min(na, nb) == 1)) if persons else shared >= 5 and min(na, nb) * RARER <= max(na, nb)
+        if na > nb:  # the rarer one is looked at as the slip
+            la, lb, known_a, known_b = lb, la, known_b, known_a
         if len(la) == len(lb) and _slips(la, lb, known_a, known_b, shared, persons, rarer):
             return SAME
         if la and lb and len(la) != len(lb) and shared >= 2 and abs(len(la) - len(lb)) == 1 and not all(known_a[t] for t in la) | all(known_b[t] for t in lb) and osa("".join(la), "".join(lb), 1) <= (0 if persons else 1):
             return SAME
     if not persons or len(a) > len(b) or (len(a) == len(b) and not initials) or any(t[0] == "~" for t in b):
         return 0
+    la, lb, known_a = list((left - both).elements()), list((right - both).elements()), dict(zip(a, ka))
     rest = Counter(t[0] for t in lb)
     for t in la:
         if t[0] == "~":
@@ -134,7 +139,10 @@ def _slips(la: list[str], lb: list[str], known_a: dict[str, bool], known_b: dict
     rest = list(lb)
     for t in la:
         most = 2 if len(t) > 7 or (shared >= 5 and len(t) > 4 and not known_a[t]) else 1
-        near = [o for o in rest if (rarer or not (known_a[t] and known_b[o])) and osa(t, o, most) <= most and jaro_winkler(t, o) >= (LEAST_JW if most == 1 else LEAST_JW_TWO)]
+        least = LEAST_JW if most == 1 else LEAST_JW_TWO
+        if rarer and not persons and not known_a[t]:
+            most, least = 2, LEAST_JW_RARE
+        near = [o for o in rest if (rarer or not (known_a[t] and known_b[o])) and osa(t, o, most) <= most and jaro_winkler(t, o) >= least]
         if not near:
             return False
         rest.remove(max(near, key=lambda o: (jaro_winkler(t, o), o)))
