@@ -29,8 +29,8 @@ def subjects_in_all_majors(nodes: DataFrame, edges: DataFrame, share: float = 1.
     """(name, code, n): subjects offered by at least int(total * share) majors; exactly all of them for share 1."""
     total = nodes.filter("label = 'MAJOR'").agg(F.count_distinct("node_id").alias("total"))
     n = _ends(nodes, edges, "OFFERS").groupBy("dst").agg(F.count(F.lit(1)).alias("n"))
-    need = F.col("n") == F.col("total") if share == 1.0 else F.col("n") >= (F.col("total") * share).cast("int")
-    hit = n.crossJoin(F.broadcast(total)).filter(need)  # the other side is a single row
+    need = total.scalar() if share == 1.0 else (total.scalar() * share).cast("int")
+    hit = n.filter(F.col("n") == need if share == 1.0 else F.col("n") >= need)
     rows = hit.join(_named(nodes, "SUBJECT", "dst", "name"), "dst")
     return (rows.orderBy(F.desc("n"), "name", "dst").limit(k) if k else rows).select("name", "code", "n")
 
@@ -38,8 +38,8 @@ def subjects_in_all_majors(nodes: DataFrame, edges: DataFrame, share: float = 1.
 def subjects_all_or_most(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Subjects in all majors; only if there are none, those in four fifths (30 at most)."""
     every = subjects_in_all_majors(nodes, edges)
-    none = every.agg(F.count(F.lit(1)).alias("c")).filter("c = 0")
-    return every.unionByName(subjects_in_all_majors(nodes, edges, 0.8, 30).crossJoin(F.broadcast(none)).drop("c"))  # one row or none
+    found = every.agg(F.count(F.lit(1)).alias("c"))
+    return every.unionByName(subjects_in_all_majors(nodes, edges, 0.8, 30).filter(found.scalar() == 0))
 
 
 def subjects_shared(nodes: DataFrame, edges: DataFrame, k: int = 50) -> DataFrame:

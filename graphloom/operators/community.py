@@ -121,7 +121,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     for _ in range(rounds):
         given = links.join(rank.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") / F.col("out")).alias("in"))
         lost = rank.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = rank.select("node_id").join(given, "node_id", "left").crossJoin(F.broadcast(lost))  # one row
-        rank = rank.select("node_id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
+        rank = rank.select("node_id").join(given, "node_id", "left")
+        rank = rank.select("node_id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + lost.scalar() / n)).alias("rank"))
         rank = cut(rank)  # the ranks are read three times in a round, so an uncut plan would grow threefold
     return rank

@@ -41,8 +41,7 @@ def merge_majors(nodes: DataFrame, edges: DataFrame, gate: bool = True) -> tuple
     """
     pairs = duplicate_pairs(nodes)
     if gate:
-        some = duplicate_names(nodes).agg(F.count(F.lit(1)).alias("c")).filter("c > 0")
-        pairs = pairs.crossJoin(F.broadcast(some)).drop("c")  # one row or none
+        pairs = pairs.filter(duplicate_names(nodes).agg(F.count(F.lit(1)).alias("c")).scalar() > 0)
     moved = edges
     for end in ("src", "dst"):
         moved = moved.join(pairs.withColumnRenamed("bad", end), end, "left").withColumn(end, F.coalesce("good", end)).drop("good")

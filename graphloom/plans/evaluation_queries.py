@@ -159,7 +159,8 @@ _add(
     "expand_abbrev", lambda s, d: _questions(s, d).select("k", joined(route.found_abbreviations(F.col("t"))).alias("found"), joined(route.expansions(F.col("t"))).alias("expansions")).filter("found <> ''"),
     f"WITH t AS (SELECT 'r' || result_id AS k, query AS t FROM results UNION ALL SELECT 'd' || doc_id, text FROM documents), f AS (SELECT k, {_FOUND} AS f FROM t) SELECT k, array_to_string(f, '|') AS found, array_to_string([{_FULL}[x] for x in f], '|') AS expansions FROM f WHERE len(f) > 0",
 )
-_add("keywords_merged", lambda s, d: _results(s, d).select("result_id", joined(route.all_keywords(F.col("keywords"), F.col("query"))).alias("keywords")))
+_add("keywords_merged", lambda s, d: _results(s, d).select("result_id", joined(route.all_keywords(F.col("keywords"), F.col("query"))).alias("keywords")),
+     f"WITH f AS (SELECT result_id, coalesce(keywords, []) AS own, query AS t FROM results), g AS (SELECT result_id, own, {_FOUND} AS f FROM f), h AS (SELECT result_id, list_concat(own, flatten([string_split({_FULL}[x], '|') for x in f])) AS k FROM g) SELECT result_id, coalesce(array_to_string([x for x, i in k if list_position(k, x) = i], '|'), '') AS keywords FROM h")
 
 # --- communities
 _G = lambda s, d: fixture_graph.nodes(s, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.operators.packed_values import unpack
-from graphloom.operators.reject_rows import load_rows, reject_rows
+from graphloom.operators.reject_rows import COLUMNS, load_rows, reject_rows
 
 # The packed list fields.
 PACKED = ["gold_entities", "relevant_node_ids", "gold_path", "expected_communities"]
@@ -37,7 +37,7 @@ def _trim(c: str) -> str:
     return rf"regexp_replace({c}, '^[\s\p{{Z}}\x{{FEFF}}\x{{200B}}]+|[\s\p{{Z}}\x{{FEFF}}\x{{200B}}]+$', '', 'g')"
 
 
-P5_SQL = rf"""
+_P5_CTES = rf"""
 WITH t AS (SELECT raw_id, regexp_replace(raw_text, '\r?\n?$', '') AS t FROM csv_raw WHERE raw_text IS NOT NULL),
 h AS (SELECT *, lower(regexp_replace(trim(regexp_extract(t, '^[\x{{FEFF}}\s]*("(?:[^"]|"")*"|[^,]*)', 1), E' \t\n\r"'), '^[xv]\s+', '')) AS first FROM t),
 r AS (SELECT *, regexp_full_match(t, '(?s){_FIELD}(,{_FIELD})*') AS sound FROM h
@@ -46,8 +46,9 @@ f AS (SELECT *, [CASE WHEN x LIKE '"%' THEN replace(substr(x, 2, length(x) - 2),
 d AS (SELECT raw_id, CASE WHEN NOT sound THEN 'quoting' WHEN len(f) <> 12 THEN 'column_count'
   WHEN lower({_trim('f[3]')}) NOT IN ('single_hop', 'multi_hop', 'global') THEN 'query_type'
   WHEN {_trim('f[8]')} <> '' AND NOT regexp_full_match({_trim('f[8]')}, '[0-9]+') THEN 'gold_hop_count'
-  WHEN {_trim('f[4]')} = '' THEN 'ground_truth_answer' END AS reason FROM f)
-SELECT raw_id, reason FROM d WHERE reason IS NOT NULL"""
+  WHEN {_trim('f[4]')} = '' THEN 'ground_truth_answer' END AS reason, f FROM f)"""
+P5_SQL = _P5_CTES + " SELECT raw_id, reason FROM d WHERE reason IS NOT NULL"
+P5_LOADED_SQL = _P5_CTES + " SELECT raw_id, " + ", ".join(f"f[{i}] AS {c}" for i, c in enumerate(COLUMNS, 1)) + " FROM d WHERE reason IS NULL"
 
 
 def queries() -> dict:
@@ -55,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_SQL}
+    return {"p5_found": P5_SQL, "p5_loaded": P5_LOADED_SQL}
