@@ -217,7 +217,7 @@ def link_forms(forms: DataFrame, persons: bool) -> DataFrame:
     edges = cut(wide.mapInArrow(judge, "a string, b string, kind int"))
 
     same = edges.filter(F.col("kind") == SAME).select("a", "b")
-    cluster = connected_components(nodes.select("form"), same)
+    cluster = cut(connected_components(nodes.select("form"), same))
     if not persons:
         return cluster
     # short forms: the clusters they can stand for, without those that are short forms themselves
@@ -308,7 +308,7 @@ def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def pairs_of(members: DataFrame, group: str, differ: str | None = None) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of each two records of one class (with ``differ``: whose value of it differs). The result asks for every pair."""
-    m = members.filter(F.col("record_id").isNotNull()).dropDuplicates(["record_id"])
+    m = cut(members.filter(F.col("record_id").isNotNull()).dropDuplicates(["record_id"]))  # both sides read it
     extra = [differ] if differ else []
     a = m.select(group, F.col("record_id").alias("id_a"), *[F.col(c).alias("wa") for c in extra])
     b = m.select(group, F.col("record_id").alias("id_b"), *[F.col(c).alias("wb") for c in extra])
