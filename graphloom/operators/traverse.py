@@ -45,7 +45,7 @@ def trails(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int =
     written to the shared checkpoint folder at each hop.
     """
     both = edges.select("edge_id", "rel_type", F.col("src").alias("at"), F.col("dst").alias("next")).union(edges.select("edge_id", "rel_type", F.col("dst").alias("at"), F.col("src").alias("next")))
-    both = both.filter("at <> next").union(edges.filter("src = dst").select("edge_id", "rel_type", F.col("src").alias("at"), F.col("dst").alias("next")))
+    both = cut(both.filter("at <> next").union(edges.filter("src = dst").select("edge_id", "rel_type", F.col("src").alias("at"), F.col("dst").alias("next"))))  # read at every hop
     names = nodes.select(F.col("node_id").alias("next"), F.col("name").alias("n_name"), F.col("label").alias("n_label"), F.col("code").alias("n_code"))
     front = start.select(F.col("name").alias("seed")).distinct().join(nodes.select(F.col("name").alias("seed"), F.col("node_id").alias("at")), "seed")
     front = front.select("seed", "at", F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("rel_types"), F.array("seed").alias("node_names"))
@@ -96,7 +96,7 @@ def path_depth(edges: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
 
     Breadth first from all sources at once, from each source's side only; a visited set per source (anti-join) keeps the frontier small.
     """
-    both = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).union(edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))).distinct()
+    both = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).union(edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))).distinct())  # read at every hop
     known = both.select("at").distinct()
     live = pairs.join(known.withColumnRenamed("at", "a"), "a", "left_semi").join(known.withColumnRenamed("at", "b"), "b", "left_semi").select("pair_id", "a", "b")
     seen = cut(live.select(F.col("a").alias("source"), F.col("a").alias("at")).distinct().withColumn("depth", F.lit(0)))
