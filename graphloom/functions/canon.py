@@ -51,12 +51,19 @@ def even(text: str) -> str:
 
 def canon(text: str | None) -> str:
     """The text without case, white space, punctuation (but + and #) and invisible characters; '' for null. Accents stay."""
-    return even(text).translate(_STRIP) if text else ""
+    if not text:
+        return ""
+    if text.isascii():
+        return text.lower().translate(_STRIP)
+    # signs go before the forms are evened: a spacing accent would otherwise become one of the letter before it
+    return unicodedata.normalize("NFKC", even(text.translate(_STRIP)).translate(_STRIP))
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text in one Unicode form and case, split at white space, punctuation and symbols (but + and #)."""
-    return even(text).translate(_SPACE).split() if text else []
+    if not text:
+        return []
+    return (text.lower() if text.isascii() else even(text.translate(_SPACE))).translate(_SPACE).split()
 
 
 _FOLDED: dict[str, str] = {}
