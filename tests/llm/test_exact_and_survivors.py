@@ -100,7 +100,6 @@ def test_alignment_keeps_all_weight(values):
 @given(st.text(max_size=40))
 def test_canon_is_stable(text):
     assert canon(canon(text)) == canon(text)
-    assert canon(text.upper()) == canon(text.upper().lower()) or True
 
 
 def test_survivor_groups_against_brute_force(spark, data):
