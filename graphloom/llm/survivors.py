@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.canon import canon, words
 from graphloom.functions.columns import pick
+from graphloom.session import cut
 
 # Fillers that say nothing, canonically written (no case, space or punctuation).
 FILLERS = ["tbd", "tba", "đangcậpnhật", "chưacậpnhật", "cậpnhậtsau", "chưacó", "chưacómã", "khôngcó", "khôngrõ", "chưarõ", "trống", "na", "nil", "null", "none", "nan", "unknown", "undefined", "empty", "blank", "missing", "notavailable", "notapplicable"]
@@ -88,6 +89,8 @@ def survivors(majors: DataFrame, trust: DataFrame) -> DataFrame:
 
 #: Values aligned in one task at a time; larger groups are aligned in several blocks whose profiles are aligned in turn.
 BLOCK = 256
+#: Profiles aligned in one task at a time, level by level, until a group has one.
+FAN = 64
 GAP = ""
 
 Profile = list[dict[str, float]]
@@ -158,16 +161,16 @@ def _profile(values: list[tuple[str, float]]) -> Profile:
 _PROFILE = "array<map<string,double>>"
 
 
-def consensus(values: DataFrame, block: int = BLOCK) -> DataFrame:
+def consensus(values: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """(grp, field, value, votes): of each group and field the existing value closest to the consensus of its tokens.
 
     ``values`` has (grp, field, value, weight), one row per record and field; null, blank and punctuation-only values don't vote.
     Equal values are summed before the shuffle, so a group of a million copies is a few distinct values. Distinct values are dealt
     into blocks of about ``block``; each is aligned in one task, and the profiles of a group's blocks (a few columns each) are aligned
-    in a second step. No task holds more than a block of values or the profiles of one group's blocks. Ties go to the heavier value,
-    then to the smaller text. Groups without a usable value give no row.
+    ``fan`` at a time, level by level, until one is left. No task holds more than a block of values or ``fan`` profiles. Ties go to the
+    heavier value, then to the smaller text. Groups without a usable value give no row.
     """
-    v = values.filter(F.col("value").isNotNull() & F.col("value").rlike(r"[\p{L}\p{N}]")).groupBy("grp", "field", "value").agg(F.sum("weight").alias("w"))
+    v = cut(values.filter(F.col("value").isNotNull() & F.col("value").rlike(r"[\p{L}\p{N}]")).groupBy("grp", "field", "value").agg(F.sum("weight").alias("w")))
     sizes = v.groupBy("grp", "field").agg(F.count(F.lit(1)).alias("n"))
     dealt = v.join(sizes, ["grp", "field"]).withColumn("block", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / block).cast("long"))).drop("n")
 
@@ -175,15 +178,25 @@ def consensus(values: DataFrame, block: int = BLOCK) -> DataFrame:
         p = _profile(list(zip(pdf["value"], pdf["w"])))
         return pd.DataFrame({"grp": [key[0]], "field": [key[1]], "block": [key[2]], "profile": [p]})
 
-    def second(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [[dict(c) for c in p] for _, p in sorted(zip(pdf["block"], pdf["profile"]))]
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [[dict(c) for c in p] for _, p in sorted(zip(pdf["part"], pdf["profile"]))]
         p = parts[0]
         for q in parts[1:]:
             p = align(p, q)
-        return pd.DataFrame({"grp": [key[0]], "field": [key[1]], "elected": [elect(p)]})
+        return pd.DataFrame({"grp": [key[0]], "field": [key[1]], "block": [key[2]], "profile": [p]})
 
-    profiles = dealt.groupBy("grp", "field", "block").applyInPandas(first, f"grp string, field string, block long, profile {_PROFILE}")
-    elected = profiles.groupBy("grp", "field").applyInPandas(second, "grp string, field string, elected array<string>")
+    @F.pandas_udf("array<string>")
+    def elected_of(profiles: pd.Series) -> pd.Series:
+        return pd.Series([elect([dict(c) for c in p]) for p in profiles])
+
+    shape = f"grp string, field string, block long, profile {_PROFILE}"
+    profiles = dealt.groupBy("grp", "field", "block").applyInPandas(first, shape)
+    blocks = -(-(sizes.agg(F.max("n").alias("m")).first().m or 0) // block)
+    while blocks > 1:
+        up = profiles.withColumn("part", F.col("block")).withColumn("block", F.floor(F.col("block") / fan))
+        profiles = up.groupBy("grp", "field", "block").applyInPandas(merge, shape)
+        blocks = -(-blocks // fan)
+    elected = profiles.select("grp", "field", elected_of("profile").alias("elected"))
 
     @F.pandas_udf("int")
     def away(text: pd.Series, target: pd.Series) -> pd.Series:

@@ -75,7 +75,7 @@ def test_consensus_votes_token_by_token(spark):
         "grp string, field string, value string, weight double",
     )
     assert rows(S.consensus(v)) == [("g", "n", "Luật kinh tế", 4.0), ("h", "n", "x", 1.0)]
-    assert rows(S.consensus(v, block=1)) == rows(S.consensus(v))  # groups in several blocks
+    assert rows(S.consensus(v, block=1)) == rows(S.consensus(v, block=1, fan=2)) == rows(S.consensus(v))  # groups in several blocks, several levels
     assert S.consensus(v.limit(0)).count() == 0
 
 
