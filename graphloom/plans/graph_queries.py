@@ -172,7 +172,7 @@ def _ask(s: SparkSession, d: str) -> DataFrame:
     own = [("a1", "Môn nào chung cho tất cả ngành?"), ("a2", "Ngành nào có nhiều môn học nhất?"), ("a3", "Có bao nhiêu nghề?"), ("a4", "Ngành 7480007 có những môn nào?"), ("a5", "Ngành 7480003 dẫn tới nghề nào?")]
     asked = s.read.parquet(f"{d}/results.parquet").filter("query is not null").groupBy("query").agg(F.min("result_id").alias("i")).select(F.concat(F.lit("r"), F.col("i").cast("string")).alias("query_id"), "query")
     nodes, edges = _graph(s, d)
-    out = ask(nodes, edges, asked.union(s.createDataFrame(own, "query_id string, query string")), max_hops=2)
+    out = ask(nodes, edges, asked.union(s.createDataFrame(own, "query_id string, query string")))
     return out.select("query_id", "community", "algorithm", F.size("retrieved_nodes").alias("n_nodes"), F.size("traversal_path").alias("n_steps"))
 
 

@@ -158,3 +158,15 @@ def test_pagerank_adds_up_to_one(spark):
     n, e = graph(spark, [("SKILL", x, None) for x in "abc"], [("SKILL:a", "SKILL:b", "R"), ("SKILL:a", "SKILL:b", "R"), ("SKILL:b", "SKILL:c", "R")])
     r = {x.node_id: x["rank"] for x in community.pagerank(n, e).collect()}
     assert abs(sum(r.values()) - 1) < 1e-9 and r["SKILL:c"] > r["SKILL:b"] > r["SKILL:a"]
+
+
+def test_ask_questions_walks_three_hops(spark, data):
+    from graphloom.operators.ask import ask
+    from graphloom.plans import graph_queries
+
+    got = {r.query_id: r.n_nodes for r in graph_queries.queries()["ask_questions"](spark, data).collect()}
+    asked = [("a4", "Ngành 7480007 có những môn nào?"), ("a5", "Ngành 7480003 dẫn tới nghề nào?")]
+    n, e = fixture_graph.nodes(spark, data), fixture_graph.edges(spark, data)
+    q = spark.createDataFrame(asked, "query_id string, query string")
+    two, three = ({r.query_id: len(r.retrieved_nodes) for r in ask(n, e, q, max_hops=h).collect()} for h in (2, 3))
+    assert two != three and {k: got[k] for k in three} == three
