@@ -29,8 +29,8 @@ from graphloom.session import cut
 KNOWN_SHARE, KNOWN_LEAST = 0.0015, 3
 SAME, SHORT = 1, 2
 LEAST_JW, LEAST_JW_TWO, LEAST_JW_RARE = 0.7, 0.85, 0.5
-#: How many times rarer a form must be to be taken for a slip of another though all its tokens are well known.
-RARER = 8
+#: How many times rarer a form must be to be taken for a slip of another though all its tokens are well known. Copies don't count.
+RARER = 4
 
 
 def is_syllable_col(c):
@@ -85,8 +85,8 @@ def lookups_of(tokens: list[str], known: list[bool], persons: bool) -> list[str]
 def compare(a: list[str], ka: list[bool], na: int, b: list[str], kb: list[bool], nb: int, persons: bool) -> int:
     """SAME if a and b are one name but for slips and word order, SHORT if a is a short form of b, else 0.
 
-    k: which tokens are well known; n: how many records have the form. A slip may happen to give a well-known token; that is believed
-    of a form much rarer than the other, or of a long name of a person.
+    k: which tokens are well known; n: how many records have the form, copies aside. A slip may happen to give a well-known token; that
+    is believed of a form much rarer than the other, or of a long name of a person.
     """
     left, right = Counter(a), Counter(b)
     both = left & right
@@ -103,7 +103,8 @@ def compare(a: list[str], ka: list[bool], na: int, b: list[str], kb: list[bool],
             la, lb = list((left - both).elements()), list((right - both).elements())
     initials = [t for t in la if t[0] == "~"]
     if not initials and not any(t[0] == "~" for t in lb):
-        rarer = (shared >= 4 or (shared == 3 and min(na, nb) == 1)) if persons else shared >= 5 and min(na, nb) * RARER <= max(na, nb)
+        much = min(na, nb) * RARER <= max(na, nb)
+        rarer = (shared >= 4 or (shared == 3 and (min(na, nb) == 1 or much))) if persons else shared >= 5 and much
         if na > nb:  # the rarer one is looked at as the slip
             la, lb, known_a, known_b = lb, la, known_b, known_a
         if len(la) == len(lb) and _slips(la, lb, known_a, known_b, shared, persons, rarer):
@@ -179,10 +180,11 @@ def _run(acronym: str, rest: list[str], b: list[str]) -> list[str]:
 def link_forms(forms: DataFrame, persons: bool) -> DataFrame:
     """(form, cluster): every distinct form (its tokens joined by spaces) with the smallest form of its cluster.
 
-    ``forms``: (form), repeated as often as records have it or not. No form is left out and no block is capped: a block is a join key,
-    so large ones are split like any skewed join. Single tokens are linked only to equal ones.
+    ``forms``: (form, written), the latter what tells records apart; equal rows count once, so copies of a record don't make its form
+    commoner. No form is left out and no block is capped: a block is a join key, so large ones are split like any skewed join. Single
+    tokens are linked only to equal ones.
     """
-    nodes = forms.filter(F.col("form") != "").groupBy("form").agg(F.count(F.lit(1)).alias("uses")).withColumn("tokens", F.split("form", " "))
+    nodes = forms.filter(F.col("form") != "").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("uses")).withColumn("tokens", F.split("form", " "))
     each = nodes.select("form", F.posexplode("tokens").alias("at", "token"))
     size = nodes.agg(F.count(F.lit(1)).alias("forms"))
     total = F.greatest(F.lit(float(KNOWN_LEAST)), F.lit(KNOWN_SHARE) * F.lit(float(size.first().forms)))
@@ -250,7 +252,8 @@ def link_people(teachers: DataFrame) -> DataFrame:
 
     t = pick(teachers, cols).withColumn("record_id", F.col("record_id").cast("long"))
     rec = cut(t.mapInArrow(read, "record_id long, nf string, kf string, mail string, accents string, title string").withColumn("row", F.monotonically_increasing_id()))
-    forms = rec.select(F.col("nf").alias("form")).union(rec.select("kf"))
+    # a key that repeats the name isn't a second use of it
+    forms = rec.select(F.explode(F.array_distinct(F.array("nf", "kf"))).alias("form"), F.struct("accents", "kf", "mail").alias("written"))
     clusters = link_forms(forms, True)
     size = lambda c: F.size(F.filter(F.split(c, " "), lambda x: ~x.startswith("~")))
     named = rec.join(clusters.toDF("nf", "nc"), "nf", "left").join(clusters.toDF("kf", "kc"), "kf", "left")
@@ -300,7 +303,7 @@ def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (forms, tool, written))], names=["record_id", "form", "tool", "written"])
 
     rec = cut(t.mapInArrow(read, "record_id long, form string, tool string, written string").withColumn("row", F.monotonically_increasing_id()))
-    clusters = link_forms(rec.select("form"), False)
+    clusters = link_forms(rec.select("form", "written"), False)
     own = F.concat(F.lit("r"), F.col("row").cast("string"))
     skill = F.when(F.col("cluster").isNotNull(), F.concat(F.lit("s"), "cluster", F.lit(" | "), "tool")).when(F.col("tool") != "", F.concat(F.lit("t"), "tool")).otherwise(own)
     return rec.join(clusters, "form", "left").select("record_id", skill.alias("skill"), "written")

@@ -109,3 +109,20 @@ def test_emails_are_never_joined(spark, data):
     assert len(person) == t.count()
     for a, b in combinations(mail, 2):
         assert (person[a] == person[b]) == (mail[a] == mail[b])
+
+
+def test_copies_of_a_misspelt_record_dont_undo_its_link(spark):
+    usual = [(i, "Lê Quốc Lan Phương", "le_quoc_lan_phuong", None, None) for i in range(8)]
+    more = [(20 + 10 * i + j, f"{a} {b} {c}", None, None, None) for i, b in enumerate(("Lan", "Lam")) for j, (a, c) in enumerate((("Trần", "Kiên"), ("Hồ", "Quế"), ("Mai", "Thông")))]
+    slip = [(100, "Lê Quốc Lam Phương", "le_quoc_lam_phuong", None, None)]
+    again = [(101 + i, *slip[0][1:]) for i in range(3)]
+    for extra in ([], again):
+        got = classes(V.link_people(spark.createDataFrame(usual + more + slip + extra, TEACHER)), "person")
+        assert [*range(8), 100, *(r[0] for r in extra)] in got and len(got) == 7
+    names = ["Bảo vệ cơ sở dữ liệu lan", "BAO VE co so du lieu lan", "Bảo vệ co sở dữ liệu lan", "Bảo ve cơ sở dữ liệu lan", "Bao vệ cơ sở dữ liệu lan"] * 2
+    rest = [f"{v} nhà trẻ {w}" for w in ("lan", "lam") for v in ("Kiểm thử", "Biên soạn", "Quản trị", "Đàm phán")]
+    alias = spark.createDataFrame([], "alias string, full_form string, kind string")
+    for n in (1, 6):
+        k = spark.createDataFrame(list(enumerate(names + rest + ["Bảo vệ cơ sở dữ liệu lam"] * n)), "record_id long, skill_name string")
+        skill = {r.record_id: r.skill for r in V.link_skills(k, alias).collect()}
+        assert all(skill[0] == skill[len(names + rest) + i] for i in range(n))
