@@ -2,15 +2,16 @@
 
 Each text gives five features: the share of it that is not sentences, the repetition of its three-word runs, the deficit of its
 word entropy, its density of links and list marks, and its lack of function words. Per language, a robust centre (medians) and
-scatter (median absolute deviations, correlations of winsorised scores) are estimated over all documents; a page is flagged if its
-Mahalanobis distance from the prose of its language is an outlier's, it lies in spam-directed directions, and most of it is no
-sentences.
+scatter (median absolute deviations, correlations of winsorised scores) are estimated over all distinct texts, so copies of a page
+don't pull the centre to themselves; a page is flagged if its Mahalanobis distance from the prose of its language is an outlier's,
+it lies in spam-directed directions, and most of it is no sentences.
 
-Fitting is three aggregations with partial sums; only a handful of numbers per language reach the driver.
+Fitting is one aggregation by text and three with partial sums; only a handful of numbers per language reach the driver.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import math
 import re
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.canon import even, fold, words
+from graphloom.functions.canon import canon, even, fold, words
 from graphloom.functions.columns import pick
 from graphloom.session import cut
 
@@ -47,7 +48,7 @@ OUTLIER = 25.74
 FLOOR = [0.05, 0.02, 0.02, 0.02, 0.05]
 #: Robust scores in a spam-directed direction count from here.
 FAR = 3.0
-#: Languages with fewer texts are measured against all texts together.
+#: Languages with fewer distinct texts are measured against all texts together.
 LEAST_TEXTS = 50
 
 _LINK = re.compile(r"[hH][tT][tT][pP][sS]?:|[wW][wW][wW]\.|\.(?:example|test|invalid|com|vn|org|net|info|edu|io)\b|</?\w+")
@@ -128,22 +129,25 @@ def features(text: str | None) -> tuple[str, int, list[float]]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang, n_words, features...) of every document, whole texts, no shuffle."""
+    """(doc_id, lang, n_words, features..., text_key) of every document, whole texts, no shuffle. text_key: a digest of the canonical text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [features(t) for t in b.column(1).to_pylist()]
             cols = [b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64())]
             cols += [pa.array([g[2][i] for g in got], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "n_words", *FEATURES])
+            cols.append(pa.array([hashlib.blake2b(canon(t).encode("utf8", "surrogatepass"), digest_size=16).digest() for t in b.column(1).to_pylist()], pa.binary()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang", "n_words", *FEATURES, "text_key"])
 
     t = pick(docs, [id_col, text_col]).toDF("doc_id", "text")
-    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, lang string, n_words long, " + ", ".join(f"{f} double" for f in FEATURES) + ", text_key binary")
 
 
 def fit(measured: DataFrame) -> dict[str, dict]:
-    """Centre, scale and inverse correlation of each language, and of all texts together ('')."""
-    long_enough = measured.filter(F.col("n_words") >= LEAST_WORDS)
+    """Centre, scale and inverse correlation of each language, and of all texts together (''); a text counts once, however many copies it has."""
+    kept = ["lang", "n_words", *FEATURES]
+    once = measured.filter(F.col("n_words") >= LEAST_WORDS).groupBy("text_key").agg(F.min(F.struct(*kept)).alias("m"))
+    long_enough = cut(once.select(*[F.col(f"m.{c}").alias(c) for c in kept]))  # read three times
     both = long_enough.withColumn("lang", F.explode(F.array("lang", F.lit(""))))
     half = lambda c: F.percentile_approx(c, 0.5, 10_000)
     centres = {r.lang: r for r in both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[half(f).alias(f) for f in FEATURES]).collect()}
@@ -196,4 +200,4 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     table gives no rows. The measured features, not the texts, are kept between the passes in the shared checkpoint folder.
     """
     measured = cut(measure(docs, id_col, text_col))
-    return score(measured, fit(measured))
+    return score(measured.drop("text_key"), fit(measured))

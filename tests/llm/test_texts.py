@@ -128,3 +128,13 @@ def test_spam(spark):
     assert got == {i for i, _ in spam}
     assert P.spam_pages(df.limit(0)).count() == 0
     assert P.spam_pages(df).count() == len(prose + spam + fine)
+
+
+def test_spam_that_is_most_of_a_language_is_still_spam(spark):
+    prose = [(i, " ".join(PROSE[(i + j) % 4].format(f"số {i * 7 + j}") for j in range(3 + i % 5))) for i in range(120)]
+    hot = [(1000 + i, "Khóa học dữ liệu uy tín? Luyện thi dữ liệu số 1! " * 12) for i in range(200)]
+    listed = [(2000 + i, "コーヒー, ミルク, カメラ, テレビ, パソコン, " * 12) for i in range(60)]
+    df = spark.createDataFrame(prose + hot + listed, "doc_id long, text string")
+    got = P.spam_pages(df)
+    assert {r.doc_id for r in got.collect() if r.spam} == {i for i, _ in hot + listed}
+    assert got.columns == ["doc_id", "lang", "n_words", *P.FEATURES, "distance", "towards", "spam"]
