@@ -59,6 +59,8 @@ _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _KANA = re.compile(r"[ぁ-ゖァ-ヺ]")
 _HIRA = re.compile(r"[ぁ-ゖ]")
 _OTHER = re.compile(r"[Ѐ-ӿ֐-ۿऀ-෿฀-໿ᄀ-ᇿ㐀-鿿가-힣]")
+_HAN = re.compile(r"[㐀-鿿]")
+_TERMS = re.compile(r"[,;，；、،؛|｜/·•▪#\n]+")
 _VIET = re.compile(r"[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
 
 
@@ -85,13 +87,22 @@ def language(text: str, ws: list[str]) -> str:
     return "vi" if best == "vi_plain" else best
 
 
+def _is_listed(segment: str, ws: list[str]) -> bool:
+    """Whether a segment in a script without function words here is a run of short separated terms, or repeats its words over and over."""
+    terms = [t for t in _TERMS.split(segment) if t.strip()]
+    if len(_HAN.findall(segment)) > 0.3 * len(segment):  # prose in these has no spaces between its words
+        terms = [x for t in terms for x in t.split()]
+    short = sum(len(t.split()) <= 3 and len(_HAN.findall(t)) <= 6 and len(t.strip()) <= 30 for t in terms)
+    return len(terms) >= 6 and short >= 0.8 * len(terms) or len(ws) >= 12 and len(set(ws)) < 0.4 * len(ws)
+
+
 def is_sentence(segment: str, ws: list[str], latin: bool = False) -> bool:
-    """Whether a line or sentence (ws: its words) says something: two different function words of one language, and no link. latin: no other script is in it."""
+    """Whether a line or sentence (ws: its words) says something: two different function words of one language, and no link; in another script, no list of terms. latin: no other script is in it."""
     if not latin:
         if len(_KANA.findall(segment)) >= 4:
             return len(_HIRA.findall(segment)) >= 0.2 * len(segment)
         if len(_OTHER.findall(segment)) > 0.3 * len(segment):
-            return True
+            return not _LINK.search(segment) and not _is_listed(segment, ws)
     if len(ws) < 4:
         return False
     kinds = set(ws)

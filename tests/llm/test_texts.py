@@ -138,3 +138,11 @@ def test_spam_that_is_most_of_a_language_is_still_spam(spark):
     got = P.spam_pages(df)
     assert {r.doc_id for r in got.collect() if r.spam} == {i for i, _ in hot + listed}
     assert got.columns == ["doc_id", "lang", "n_words", *P.FEATURES, "distance", "towards", "spam"]
+
+
+def test_lists_in_scripts_without_function_words_are_spam_and_prose_is_not(spark):
+    prose = [(i, " ".join(PROSE[(i + j) % 4].format(f"số {i * 7 + j}") for j in range(3 + i % 5))) for i in range(120)]
+    lists = ["数据课程，便宜课程，在线课程，课程资料，课程价格，" * 12, "курсы данных, дешёвые курсы, купить курсы, цена курсов, скидки, " * 12, "데이터 강의, 저렴한 강의, 온라인 강의, 강의 자료, 강의 가격, " * 12, "教材 格安 通販 教材 価格 送料 無料 教材 " * 12]
+    fine = ["课程大纲：本课程介绍基本概念。学生在考试之前必须完成所有实验，否则不能参加考试。" * 4, "Студенты должны выполнить все лабораторные работы до экзамена, иначе они не будут допущены. Преподаватель ведёт лекции, а ассистент помогает группам с проектами.", "학생은 기말 시험 전에 모든 실습을 완료해야 하며, 그렇지 않으면 시험에 응시할 수 없다. 강사는 이론을 담당하고 조교는 프로젝트를 지도한다.", "本課程介紹資料庫、網路、演算法與統計，學生必須完成所有實驗並且在期末考試之前提交報告"]
+    df = spark.createDataFrame(prose + [(1000 + i, t) for i, t in enumerate(lists + fine)], "doc_id long, text string")
+    assert {r.doc_id for r in P.spam_pages(df).collect() if r.spam} == {1000 + i for i in range(len(lists))}
