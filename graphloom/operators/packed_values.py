@@ -47,16 +47,17 @@ class _Parser:
     def _pairs(s: str) -> dict[int, int]:
         """For each opening bracket that closes, the place of its partner; quotes are no concern here."""
         stack: list[int] = []
+        of_kind: dict[str, list[int]] = {c: [] for c in BRACKETS.values()}  # the open ones, by what closes them
         out: dict[int, int] = {}
         for i, c in enumerate(s):
             if c in BRACKETS:
                 stack.append(i)
-            elif stack and c in _CLOSERS:
-                for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1):
-                    if BRACKETS[s[stack[k]]] == c:
-                        out[stack[k]] = i
-                        del stack[k:]
-                        break
+                of_kind[BRACKETS[c]].append(i)
+            elif c in of_kind and of_kind[c]:
+                partner = of_kind[c][-1]
+                out[partner] = i
+                while stack and stack[-1] >= partner:  # what opened inside and is still open never closes
+                    of_kind[BRACKETS[s[stack.pop()]]].pop()
         return out
 
     def quoted(self, i: int, end: int) -> tuple[str, int] | None:
@@ -134,7 +135,6 @@ class _Parser:
             i = m.end() if m else i + 1
 
 
-_CLOSERS = set(BRACKETS.values())
 _STRAY = "".join(set(QUOTES) | set(QUOTES.values()))
 
 

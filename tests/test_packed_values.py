@@ -67,3 +67,9 @@ def test_table(spark):
     got = sorted((r.row_id or 0, r.field_name, r.item_no, r.item_text) for r in unpack(df, ["f", "g"]).collect())
     assert got == [(0, "f", 1, "c"), (0, "g", 1, "d"), (1, "f", 1, "a"), (1, "f", 1, "a"), (1, "f", 2, "b"), (1, "f", 2, "b")]
     assert unpack(df.limit(0), ["f"]).count() == 0
+
+
+def test_brackets_enclose_however_many_stay_open_inside():
+    for n in (3, 8, 40):
+        got = parse("[a; " + "( " * n + "b; c]")
+        assert got[0][0] == "a" and got[-1][0] == "c" and len(got) == 3
