@@ -40,6 +40,8 @@ def _invisible(cp: int) -> bool:
 
 
 _STRIP, _SPACE = _Strip(), _Space()
+#: The table by which words are split.
+SPACED = _SPACE
 
 
 def even(text: str) -> str:
