@@ -137,7 +137,7 @@ def test_spam_that_is_most_of_a_language_is_still_spam(spark):
     df = spark.createDataFrame(prose + hot + listed, "doc_id long, text string")
     got = P.spam_pages(df)
     assert {r.doc_id for r in got.collect() if r.spam} == {i for i, _ in hot + listed}
-    assert got.columns == ["doc_id", "lang", "n_words", *P.FEATURES, "distance", "towards", "spam"]
+    assert got.columns == ["doc_id", "lang", "n_words", *P.FEATURES, "distance", "reach", "towards", "spam"]
 
 
 def test_lists_in_scripts_without_function_words_are_spam_and_prose_is_not(spark):
@@ -146,3 +146,33 @@ def test_lists_in_scripts_without_function_words_are_spam_and_prose_is_not(spark
     fine = ["课程大纲：本课程介绍基本概念。学生在考试之前必须完成所有实验，否则不能参加考试。" * 4, "Студенты должны выполнить все лабораторные работы до экзамена, иначе они не будут допущены. Преподаватель ведёт лекции, а ассистент помогает группам с проектами.", "학생은 기말 시험 전에 모든 실습을 완료해야 하며, 그렇지 않으면 시험에 응시할 수 없다. 강사는 이론을 담당하고 조교는 프로젝트를 지도한다.", "本課程介紹資料庫、網路、演算法與統計，學生必須完成所有實驗並且在期末考試之前提交報告"]
     df = spark.createDataFrame(prose + [(1000 + i, t) for i, t in enumerate(lists + fine)], "doc_id long, text string")
     assert {r.doc_id for r in P.spam_pages(df).collect() if r.spam} == {1000 + i for i in range(len(lists))}
+
+
+def test_prose_of_few_texts_in_other_languages_is_not_spam_and_their_lists_are(spark):
+    prose = [(i, " ".join(PROSE[(i + j) % 4].format(f"số {i * 7 + j}") for j in range(3 + i % 5))) for i in range(120)]
+    fine = [
+        "Die Studierenden müssen alle Übungen abgeben, bevor sie zur Prüfung zugelassen werden. Der Dozent erklärt die Theorie und die Tutoren betreuen auch die Gruppen. Das Praktikum ist nicht benotet, wird aber für die Zulassung verlangt.",
+        "Los estudiantes entregan todas las prácticas antes del examen final. El profesor explica la teoría y los ayudantes atienden a cada grupo. Esta asignatura se ofrece cada semestre para los alumnos que están en segundo curso.",
+        "Studenci oddają wszystkie ćwiczenia przed egzaminem, który jest pisemny. Wykład nie jest obowiązkowy, lecz laboratoria są oceniane przez prowadzących. Kurs dla drugiego roku zaczyna się w październiku lub listopadzie.",
+    ]
+    lists = ["Datenbank Kurs günstig, Datenbank Lernen, Datenbank Buch, Kurs Preis, Lernen Online, " * 8, "curso barato, curso online, libro curso, precio curso, comprar curso, oferta, " * 8]
+    df = spark.createDataFrame(prose + [(1000 + i, t) for i, t in enumerate(lists + fine)], "doc_id long, text string")
+    assert {r.doc_id for r in P.spam_pages(df).collect() if r.spam} == {1000 + i for i in range(len(lists))}
+
+
+def test_distance_and_direction_both_decide(spark):
+    prose = [(i, " ".join(PROSE[(i + j) % 4].format(f"số {i * 7 + j}") for j in range(3 + i % 5))) for i in range(200)]
+    closing = [(1000 + i, " ".join(p.format(i) for p in PROSE) + "\n" + "\n".join(f"- Sách {i}, nhà xuất bản {k}" for k in range(5))) for i in range(5)]
+    odd = [(2000, " ".join(p.format(1).replace(" ", " – ") for p in PROSE))]
+    tags = [(3000, " ".join(f"#thedulieu{i}" for i in range(40)) + " " + PROSE[0].format(1)), (3001, " ".join(f"#thedulieu{i}" for i in range(18)))]
+    got = {r.doc_id: r for r in P.spam_pages(spark.createDataFrame(prose + closing + odd + tags, "doc_id long, text string")).collect()}
+    assert all(got[i].towards > P.TOWARDS and got[i].distance < got[i].reach for i, _ in closing)  # only the distance keeps them out
+    assert got[2000].distance > got[2000].reach and got[2000].towards < P.TOWARDS  # only the direction does
+    assert {i for i, r in got.items() if r.spam} == {3000, 3001}
+
+
+def test_words_are_split_as_elsewhere():
+    from graphloom.functions.canon import words
+
+    for parts in (["Môn A_b, C++", "đ"], ["x\u0301y", "ﬁn"], ["a\ue000b", "c"], ["ÉCOLE\u200b x", "İ ẞ"], []):
+        assert P._split_words(parts) == [words(x) for x in parts]
