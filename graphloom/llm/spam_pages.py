@@ -150,6 +150,8 @@ def sentence_share(segment: str, ws: list[str], latin: bool, linked: bool) -> fl
 def _split_words(segments: list[str]) -> list[list[str]]:
     """The words of each segment (functions.canon.words of each, in one go where a text's form is even)."""
     whole = _BORDER.join(segments)
+    if not segments:
+        return []
     if whole.count(_BORDER) != max(len(segments) - 1, 0) or not unicodedata.is_normalized("NFKC", whole):
         return [words(s) for s in segments]
     return [part.split() for part in whole.casefold().translate(_PARTS).split(_BORDER)]
