@@ -1,12 +1,15 @@
 """Variant spellings of names typed by people: which written forms mean one entity.
 
-Forms (distinct token lists) are blocked by phonetic codes of sorted tokens: each form is indexed under the codes of its tokens with
-up to a few of them left out, and looks itself up under the codes of its well-known tokens. Candidates are compared token by token:
-equal tokens, Jaro-Winkler and edits for slips, initials and acronyms, nicknames. Pairs accepted as the same are clustered by
-connected components. A shorter form (initials, dropped names) joins a cluster only if that is the only one it can stand for.
+Forms (distinct token lists) are blocked by phonetic codes of their sorted tokens: under all codes, and under the codes of all tokens
+but one (or but neighbours that may be run together or shortened to an acronym) with what that token looks like with a letter left
+out. So no block rests on common tokens alone, and its size depends on how many ways one name is typed, not on how many names there
+are. Candidates are compared token by token: what isn't equal is paired off by Jaro-Winkler, which accepts or rejects it; initials,
+acronyms and nicknames are spelled out first. Accepted pairs are clustered by connected components. A shorter form (initials, dropped
+names) joins a cluster only if that is the only one it can stand for, which is counted by key, without meeting the others.
 
 Which tokens are well known is counted over all forms: a slip is rare, a word that many forms share isn't one, however near it is to
-another. So "kiểm thử" and "kiểm toán", or two middle names, stay apart.
+another. So "kiểm thử" and "kiểm toán", or two middle names, stay apart. All counts are of distinct forms or spellings, so copies of
+records change nothing.
 """
 
 from __future__ import annotations
@@ -16,137 +19,120 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.canon import canon, fold, words
 from graphloom.functions.columns import pick
 from graphloom.llm.components import connected_components
-from graphloom.llm.name_forms import SYLLABLE, code, is_syllable, jaro_winkler, osa, person_tokens, skill_tokens
+from graphloom.llm.name_forms import SYLLABLE, code, is_syllable, jaro_winkler, person_tokens, skill_tokens
 from graphloom.session import cut
 
 #: A token is well known from this share of all forms, and from this many.
 KNOWN_SHARE, KNOWN_LEAST = 0.0015, 3
-SAME, SHORT = 1, 2
-LEAST_JW, LEAST_JW_TWO, LEAST_JW_RARE = 0.7, 0.85, 0.5
+#: The least Jaro-Winkler similarity of a slip, and of parts that were run together or torn.
+LEAST_JW, LEAST_JW_RUN = 0.7, 0.93
 #: How many times rarer a form must be to be taken for a slip of another though all its tokens are well known. Copies don't count.
 RARER = 4
+#: A word that ends at least this share of the names with "bằng" is a tool, so there are 5,000 at most.
+TOOL_SHARE = 0.0002
+#: The table of aliases is a setting, read on the driver; more rows than this are refused.
+MOST_ALIASES = 100_000
+PERSON, SKILL = "P", "S"
 
 
-def is_syllable_col(c):
-    return c.rlike(SYLLABLE)
+def _foreign(t: str) -> bool:
+    return len(t) > 5 and not is_syllable(t)
 
 
-def keys_of(tokens: list[str], persons: bool) -> list[str]:
-    """The index keys of a form: its codes, sorted, with some tokens left out."""
-    full = [t for t in tokens if t[0] != "~"]
-    codes = [code(t) for t in full]
-    n = len(codes)
-    out = {" ".join(sorted(codes))} if n else set()
-    if persons:
-        if n <= 7:
-            for k in range(2, n):
-                out.update(" ".join(sorted(x)) for x in combinations(codes, k))
-        else:
-            out.update(" ".join(sorted(codes[:i] + codes[i + 1 :])) for i in range(n))
-        out.update(f"1 {code(t)}" for t in full if len(t) > 5 and not is_syllable(t))
-        if n >= 4 and n == len(tokens):
-            out.add("i " + "".join(sorted(t[0] for t in full[:3])) + " " + codes[-1])
-    else:
-        for k in range(1, min(6, n - 1)):
-            out.update(" ".join(sorted(codes[:i] + codes[i + k :])) for i in range(n - k + 1))
-        for k in (2,) if n <= 14 else ():
-            out.update(" ".join(sorted(c for j, c in enumerate(codes) if j not in x)) for x in combinations(range(n), k))
-    return sorted(out)
+def _deletions(t: str) -> set[str]:
+    """t, and t without one letter; two of long tokens, in which more goes wrong."""
+    out = {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+    if len(t) > 7:
+        out |= {t[:i] + t[i + 1 : j] + t[j + 1 :] for i, j in combinations(range(len(t)), 2)}
+    return out
 
 
-def lookups_of(tokens: list[str], known: list[bool], persons: bool) -> list[str]:
-    """Where a form looks for its like: under the codes of its well-known tokens, and of all its tokens."""
-    full = [t for t in tokens if t[0] != "~"]
-    solid = [code(t) for t, k in zip(tokens, known) if k and t[0] != "~"]
-    codes = [code(t) for t in full]
-    out = {" ".join(sorted(codes))} if full else set()
-    if len(codes) >= 4:
-        out.update(" ".join(sorted(codes[:i] + codes[i + 1 :])) for i in range(len(codes)))
-    if len(solid) >= 2:
-        out.add(" ".join(sorted(solid)))
-    if not persons and 5 <= len(solid) < len(codes):  # one slip that is seen and one that gave another well-known word
-        out.update(" ".join(sorted(solid[:i] + solid[i + 1 :])) for i in range(len(solid)))
-    if persons:
-        initials = "".join(sorted(t[1] for t in tokens if t[0] == "~"))
-        out.update(f"1 {code(t)}" for t in full if len(t) > 5 and not is_syllable(t))
-        if len(full) == 1 and len(initials) == 3:
-            out.add(f"i {initials} {code(full[0])}")
-        elif len(full) == 1:
-            out = {k for k in out if k.startswith("1 ")}
+def keys_of(tokens: list[str], persons: bool) -> list[str]:
+    """The block keys of a form, the same for forms of any length.
+
+    0: the codes of all tokens. 1: those of all but one, and that one with a letter left out or not; or of all but two neighbours, and
+    these run together. Skills, whose names are longer and may have several slips, also have keys under the first letters of their
+    codes: 2: of all but one, and that one as it is; 3: of all but one to five neighbours, and these as an acronym or initial.
+    """
+    n = len(tokens)
+    codes = [code(t) for t in tokens]
+    letters = [c[:1] for c in codes]
+
+    def rest(part: list[str], i: int, j: int) -> str:
+        return " ".join(sorted(part[:i] + part[j:]))
+
+    if n < 2:
+        return []
+    out = {"0" + " ".join(sorted(codes))}
+    for i, t in enumerate(tokens):
+        by_letters = rest(letters, i, i + 1)
+        if t[0] == "~":
+            if not persons:
+                out.add(f"3{by_letters}|{t[1]}")
+            continue
+        by_codes = rest(codes, i, i + 1)
+        out.update(f"1{by_codes}|{v}" for v in _deletions(t))
+        if not persons:
+            out.update((f"2{by_letters}|{t}", f"3{by_letters}|{t[0]}"))
+            if 2 <= len(t) <= 5:
+                out.add(f"3{by_letters}|{t}")
+    for k in range(2, min(5, n - 1) + 1):
+        for i in range(n - k + 1):
+            run = tokens[i : i + k]
+            if k == 2 and run[0][0] != "~" and run[1][0] != "~":
+                out.add(f"1{rest(codes, i, i + k)}|{''.join(run)}")
+            if not persons:
+                out.add(f"3{rest(letters, i, i + k)}|" + "".join(w.lstrip("~")[:1] for w in run))
     return sorted(out)
 
 
-def compare(a: list[str], ka: list[bool], na: int, b: list[str], kb: list[bool], nb: int, persons: bool) -> int:
-    """SAME if a and b are one name but for slips and word order, SHORT if a is a short form of b, else 0.
+def alike(a: list[str], known_a: list[bool], na: int, b: list[str], known_b: list[bool], nb: int, persons: bool) -> bool:
+    """Whether a and b are one name but for slips, acronyms and word order. Symmetric.
 
-    k: which tokens are well known; n: how many records have the form, copies aside. A slip may happen to give a well-known token; that
-    is believed of a form much rarer than the other, or of a long name of a person.
+    known: which tokens are well known; n: how many records have the form, copies aside. Tokens that differ are paired off by
+    Jaro-Winkler similarity, and each pair must reach LEAST_JW. A slip may happen to give a well-known token; that is believed of a
+    form much rarer than the other, or of a long name of a person.
     """
+    if (na, a) > (nb, b):  # the rarer one is looked at as the slip
+        a, known_a, na, b, known_b, nb = b, known_b, nb, a, known_a, na
     left, right = Counter(a), Counter(b)
     both = left & right
     la, lb = list((left - both).elements()), list((right - both).elements())
+    if not la and not lb or "".join(a) == "".join(b):
+        return True
     shared = sum(v for t, v in both.items() if t[0] != "~")
-    known_a, known_b = dict(zip(a, ka)), dict(zip(b, kb))
-    if not la and not lb:
-        return SAME
-    if "".join(a) == "".join(b):
-        return SAME
+    known = dict(zip(a, known_a)) | dict(zip(b, known_b))
     if not persons:
-        la, lb, ok = _expand(la, lb, b)
-        if not ok:
-            la, lb = list((left - both).elements()), list((right - both).elements())
-    initials = [t for t in la if t[0] == "~"]
-    if not initials and not any(t[0] == "~" for t in lb):
-        much = min(na, nb) * RARER <= max(na, nb)
-        rarer = (shared >= 4 or (shared == 3 and (min(na, nb) == 1 or much))) if persons else shared >= 5 and much
-        if na > nb:  # the rarer one is looked at as the slip
-            la, lb, known_a, known_b = lb, la, known_b, known_a
-        if len(la) == len(lb) and _slips(la, lb, known_a, known_b, shared, persons, rarer):
-            return SAME
-        if la and lb and len(la) != len(lb) and shared >= 2 and abs(len(la) - len(lb)) == 1 and not all(known_a[t] for t in la) | all(known_b[t] for t in lb) and osa("".join(la), "".join(lb), 1) <= (0 if persons else 1):
-            return SAME
-    if not persons or len(a) > len(b) or (len(a) == len(b) and not initials) or any(t[0] == "~" for t in b):
-        return 0
-    la, lb, known_a = list((left - both).elements()), list((right - both).elements()), dict(zip(a, ka))
-    rest = Counter(t[0] for t in lb)
-    for t in la:
-        if t[0] == "~":
-            if rest[t[1]] < 1:
-                return 0
-            rest[t[1]] -= 1
-        elif not _one_slip(t, lb, known_a):
-            return 0
-    foreign = any(len(t) > 5 and not is_syllable(t) for t in both)
-    if shared >= 2 or (foreign and (initials or la)) or (shared == 1 and len(initials) >= 3):
-        return SHORT
-    return 0
-
-
-def _one_slip(t: str, others: list[str], known: dict[str, bool]) -> bool:
-    """A long foreign token that is another but for a slip."""
-    return len(t) > 5 and not known[t] and any(osa(t, o, 1) <= 1 for o in others)
-
-
-def _slips(la: list[str], lb: list[str], known_a: dict[str, bool], known_b: dict[str, bool], shared: int, persons: bool, rarer: bool) -> bool:
-    """Whether the tokens that differ pair off as slips: near, and at least one of each pair not well known."""
-    if len(la) > (2 if persons else 3) or shared < max(2 if len(la) == 1 else 3, 0) and not (persons and len(la) == 1 and shared >= 1 and len(la[0]) > 5):
+        short, rest, done = _expand(la, lb, b)
+        if done:
+            la, lb = short, rest
+        else:
+            short, rest, done = _expand(lb, la, a)
+            lb, la = (short, rest) if done else (lb, la)
+    if any(t[0] == "~" for t in la + lb):
+        return False
+    if not la and not lb:
+        return True
+    if len(la) != len(lb):  # run together or torn
+        torn = shared >= 2 and abs(len(la) - len(lb)) == 1 and not all(known[t] for t in la) | all(known[t] for t in lb)
+        return torn and jaro_winkler("".join(la), "".join(lb)) >= (1 if persons else LEAST_JW_RUN)
+    foreign = persons and len(la) == 1 and shared >= 1 and len(la[0]) > 5
+    if len(la) > (2 if persons else 3) or shared < (2 if len(la) == 1 else 3) and not foreign:
         return False
+    much = na * RARER <= nb
+    rarer = (shared >= 4 or (shared == 3 and (na == 1 or much))) if persons else shared >= 5 and much
     rest = list(lb)
     for t in la:
-        most = 2 if len(t) > 7 or (shared >= 5 and len(t) > 4 and not known_a[t]) else 1
-        least = LEAST_JW if most == 1 else LEAST_JW_TWO
-        if rarer and not persons and not known_a[t]:
-            most, least = 2, LEAST_JW_RARE
-        near = [o for o in rest if (rarer or not (known_a[t] and known_b[o])) and osa(t, o, most) <= most and jaro_winkler(t, o) >= least]
-        if not near:
+        near = [(jaro_winkler(t, o), o) for o in rest if rarer or not (known[t] and known[o])]
+        if not near or max(near)[0] < LEAST_JW:
             return False
-        rest.remove(max(near, key=lambda o: (jaro_winkler(t, o), o)))
+        rest.remove(max(near)[1])
     return True
 
 
@@ -177,67 +163,140 @@ def _run(acronym: str, rest: list[str], b: list[str]) -> list[str]:
     return []
 
 
-def link_forms(forms: DataFrame, persons: bool) -> DataFrame:
-    """(form, cluster): every distinct form (its tokens joined by spaces) with the smallest form of its cluster.
+# --- short forms of persons' names
 
-    ``forms``: (form, written), the latter what tells records apart; equal rows count once, so copies of a record don't make its form
-    commoner. No form is left out and no block is capped: a block is a join key, so large ones are split like any skewed join. Single
-    tokens are linked only to equal ones.
-    """
-    nodes = forms.filter(F.col("form") != "").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("uses")).withColumn("tokens", F.split("form", " "))
-    each = nodes.select("form", F.posexplode("tokens").alias("at", "token"))
-    size = nodes.agg(F.count(F.lit(1)).alias("forms"))
-    total = F.greatest(F.lit(float(KNOWN_LEAST)), F.lit(KNOWN_SHARE) * F.lit(float(size.first().forms)))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    # what isn't built as a syllable has to be five times as common: names and terms are, slips aren't
-    known = F.col("n") >= total * F.when(is_syllable_col(F.col("token")), 1.0).otherwise(5.0)
-    marked = each.join(counts, "token").groupBy("form").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", known.alias("known")))), lambda x: x["known"]).alias("known"))
-    nodes = cut(nodes.join(marked, "form"))
+#: A short form keeps at most so many parts of a name, or all but so many.
+FEW = 3
+
+
+def _short_key(kept: list[str], initials: str) -> list[str]:
+    """The keys of parts kept whole and initials: as they are (e), and with one foreign part with a letter left out or not (c)."""
+    out = [f"e{' '.join(sorted(kept))}|{initials}"]
+    for t in {t for t in kept if _foreign(t)}:
+        others = " ".join(sorted((Counter(kept) - Counter([t])).elements()))
+        out += [f"c{others}|{initials}|{v}" for v in {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}]
+    return out
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(k, f) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in keys_of(t, persons)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["k", "b"])
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _says_enough(kept: list[str], initials: str) -> bool:
+    return len(kept) >= 2 or bool(kept and initials) and (_foreign(kept[0]) or len(initials) >= 3)
+
+
+def short_keys_of(tokens: list[str]) -> list[str]:
+    """What a full name may be shortened to: some parts whole, and of the others none or, in order, all initials but at most one."""
+    n = len(tokens)
+    out: set[str] = set()
+    for k in {*range(1, min(FEW, n - 1) + 1), *range(max(1, n - FEW), n)}:
+        for at in combinations(range(n), k):
+            kept = [tokens[i] for i in at]
+            rest = "".join(tokens[i][0] for i in range(n) if i not in at)
+            for initials in {"", rest, *(rest[:i] + rest[i + 1 :] for i in range(len(rest)))}:
+                if _says_enough(kept, initials):
+                    out.update(_short_key(kept, initials))
+    return sorted(out)
+
+
+def short_lookups_of(tokens: list[str]) -> list[str]:
+    """Where a form looks for what it may be short for."""
+    kept = [t for t in tokens if t[0] != "~"]
+    initials = "".join(t[1] for t in tokens if t[0] == "~")
+    return _short_key(kept, initials) if _says_enough(kept, initials) else []
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A written table of few rows over all cores: small partitions are put together, but much is made of each row next."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def _exploded(df: DataFrame, keys, kept: list[str]) -> DataFrame:
+    """(k, first, kept...): one row per key of ``form``; first is the first of its keys."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, f) for f, t, s in zip(*(b.column(i).to_pylist() for i in range(3))) for k in lookups_of(t, s, persons)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["k", "a"])
+            found = [keys(f, p) for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            at = pa.array([i for i, ks in enumerate(found) for _ in ks], pa.int64())
+            firsts = pa.array([ks[0] for ks in found for _ in ks], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([k for ks in found for k in ks], pa.string()), firsts, *(b.column(i).take(at) for i in range(2, b.num_columns))], names=["k", "first", *kept])
+
+    return df.select("form", "kind", *[F.col(c).alias(f"_{c}") for c in kept]).mapInArrow(run, f"k string, first string, {types}")
+
+
+def _nodes(forms: DataFrame) -> DataFrame:
+    """(kind, form, uses, known, rarest): the distinct forms, how many spellings each has, 1 or 0 for each token that is well known or not, and how many forms have its rarest token."""
+    nodes = forms.filter("form <> ''").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("uses"))
+    each = nodes.select("kind", "form", F.posexplode(F.split("form", " ")).alias("at", "token"))
+    total = nodes.groupBy("kind").agg(F.greatest(F.lit(float(KNOWN_LEAST)), F.lit(KNOWN_SHARE) * F.count(F.lit(1))).alias("total"))  # one row per kind
+    counts = each.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), "kind")
+    # what isn't built as a syllable has to be five times as common: names and terms are, slips aren't
+    known = (F.col("n") >= F.col("total") * F.when(F.col("token").rlike(SYLLABLE), 1.0).otherwise(5.0)).cast("int").cast("string")
+    marked = each.join(counts.select("kind", "token", "n", known.alias("known")), ["kind", "token"]).groupBy("kind", "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "known"))), lambda x: x["known"]), "").alias("known"), F.min("n").alias("rarest"))
+    return nodes.join(marked, ["kind", "form"])
+
+
+def link_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((kind, form, uses, known, rarest), (kind, form, cluster)): every distinct form (its tokens joined by spaces) with the smallest form of its cluster, within its kind.
+
+    ``forms``: (kind, form, written); kind is PERSON or SKILL, written is what tells records apart; equal rows count once, so copies
+    of a record don't make its form commoner. No form is left out and no block is capped. Single tokens are linked only to equal ones.
+    """
+    nodes = cut(_nodes(forms))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [compare(x.split(" "), p, m, y.split(" "), q, n, persons) for x, p, m, y, q, n in zip(*(b.column(i).to_pylist() for i in range(6)))]
-            keep = pa.array([bool(g) for g in got])
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(got, pa.int32())], names=["a", "b", "kind"])
-            yield out.filter(keep)
-
-    ix = nodes.select("form", "tokens").mapInArrow(index, "k string, b string")
-    lk = nodes.select("form", "tokens", "known").mapInArrow(look, "k string, a string")
-    candidates = lk.join(ix, "k").filter("a <> b").select("a", "b").distinct()
-    known = nodes.select("form", "known", "uses")
-    wide = candidates.join(known.toDF("a", "ka", "na"), "a").join(known.toDF("b", "kb", "nb"), "b").select("a", "ka", "na", "b", "kb", "nb")
-    edges = cut(wide.mapInArrow(judge, "a string, b string, kind int"))
-
-    same = edges.filter(F.col("kind") == SAME).select("a", "b")
-    cluster = cut(connected_components(nodes.select("form"), same))
-    if not persons:
-        return cluster
-    # short forms: the clusters they can stand for, without those that are short forms themselves
-    c = cluster.toDF("form", "cluster")
-    short = edges.filter(F.col("kind") == SHORT).join(c.toDF("a", "ca"), "a").join(c.toDF("b", "cb"), "b").filter("ca <> cb").select("ca", "cb").distinct()
-    full = short.join(short.select(F.col("ca").alias("cb")).distinct(), "cb", "left_anti")
-    only = full.groupBy("ca").agg(F.count(F.lit(1)).alias("n"), F.min("cb").alias("cb")).filter("n = 1").select(F.col("ca").alias("cluster"), "cb")
-    return c.join(only, "cluster", "left").select("form", F.coalesce("cb", "cluster").alias("cluster"))
+            keep = [
+                alike(x.split(" "), [c == "1" for c in kx], nx, y.split(" "), [c == "1" for c in ky], ny, p == PERSON)
+                for p, x, nx, kx, y, ny, ky in zip(*(b.column(i).to_pylist() for i in range(7)))
+            ]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], names=["kind", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wide = _spread(nodes).withColumn("node", F.struct("kind", "form", "uses", "known"))
+    index = _exploded(wide, lambda f, p: keys_of(f.split(" "), p == PERSON), ["node"])
+    # equal codes meet once, under the key of all of them
+    index = index.select(F.xxhash64("k", "node.kind").alias("h"), F.when(F.col("k") != F.col("first"), F.xxhash64("first")).alias("codes"), "node")
+    a, b = index.toDF("h", "ca", "x"), index.select("h", F.col("codes").alias("cb"), F.col("node").alias("y"))
+    met = a.join(b, "h").filter("x.form < y.form and x.kind = y.kind and (ca is null or ca <> cb)").select("x.kind", F.col("x.form").alias("a"), F.col("x.uses").alias("na"), F.col("x.known").alias("ka"), F.col("y.form").alias("b"), F.col("y.uses").alias("nb"), F.col("y.known").alias("kb"))
+    edges = met.distinct().mapInArrow(judge, "kind string, a string, b string")
+    named = lambda c: F.concat("kind", F.lit(" "), c)
+    groups = connected_components(nodes.select(named("form").alias("form")), edges.select(named("a").alias("a"), named("b").alias("b")))
+    groups = cut(groups)
+    return nodes, groups.select(F.substring("form", 1, 1).alias("kind"), F.expr("substring(form, 3)").alias("form"), F.expr("substring(cluster, 3)").alias("cluster"))
+
+
+def join_short_forms(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(form, cluster) of persons: a cluster of short forms becomes part of the only cluster that it can stand for.
+
+    Each cluster is represented by the form whose rarest token is commonest (a slip is rare; then most spellings, smallest). Keys are
+    aggregated, not joined with each other: of a key the number of clusters and the smallest and largest one say whether there is a
+    single one. Clusters that are short forms themselves don't stand for anything.
+    """
+    c = cut(clusters.join(nodes, "form").select("form", "cluster", "uses", "rarest"))
+    whole = ~F.contains("form", F.lit("~"))
+    best = c.filter(whole).groupBy("cluster").agg(F.min(F.struct((-F.col("rarest")).alias("rarest"), (-F.col("uses")).alias("uses"), "form")).alias("r")).select("cluster", F.col("r.form").alias("form"), F.lit(PERSON).alias("kind"))
+    index = cut(_exploded(_spread(cut(best)), lambda f, _: short_keys_of(f.split(" ")), ["cluster"]).select("k", F.col("cluster").alias("full")))
+    looked = cut(_exploded(_spread(c).withColumn("kind", F.lit(PERSON)), lambda f, _: short_lookups_of(f.split(" ")), ["cluster"]).select("k", "cluster").distinct())
 
+    def stands_for(live: DataFrame) -> DataFrame:
+        """(cluster, low, high): the smallest and largest cluster each may stand for; keys of the names as they are come first."""
+        by_key = live.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("lo"), F.max("full").alias("hi"))
+        hit = looked.join(by_key, "k").filter("n > 1 or lo <> cluster")
+        # of two clusters, one of which is the own one, the other is left
+        low = F.when((F.col("n") == 2) & (F.col("lo") == F.col("cluster")), F.col("hi")).otherwise(F.col("lo"))
+        high = F.when((F.col("n") == 2) & (F.col("hi") == F.col("cluster")), F.col("lo")).otherwise(F.col("hi"))
+        exact = F.col("k").startswith("e")
+        at = lambda f, e, v: f(F.when(e, v))
+        return hit.groupBy("cluster").agg(F.coalesce(at(F.min, exact, low), at(F.min, ~exact, low)).alias("low"), F.coalesce(at(F.max, exact, high), at(F.max, ~exact, high)).alias("high"))
 
-def link_people(teachers: DataFrame) -> DataFrame:
-    """(record_id, person): every record with the class of its person.
+    short = stands_for(index).select(F.col("cluster").alias("full"))
+    only = stands_for(index.join(short, "full", "left_anti")).filter("low = high").select("cluster", "low")
+    return c.join(only, "cluster", "left").select("form", F.coalesce("low", "cluster").alias("cluster"))
 
-    An email, spaces and case aside, belongs to one person, who has no other: records with one are settled by it. The others go by
-    their name, or by their key if that is fuller: to the only person with that name; of several, to the one whose accents and title
-    agree best (then the one with most records, then the smallest email). Without any usable name or email a record is alone.
-    Null ids are kept. Repeated rows share a class. An empty table gives no rows.
-    """
+
+# --- records of persons
+
+
+def _read_people(teachers: DataFrame) -> DataFrame:
     cols = ["record_id", "name", "teacher_key", "email", "title"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,43 +310,64 @@ def link_people(teachers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (nf, kf, mail, accents, title))], names=["record_id", "nf", "kf", "mail", "accents", "title"])
 
     t = pick(teachers, cols).withColumn("record_id", F.col("record_id").cast("long"))
-    rec = cut(t.mapInArrow(read, "record_id long, nf string, kf string, mail string, accents string, title string").withColumn("row", F.monotonically_increasing_id()))
+    return cut(t.mapInArrow(read, "record_id long, nf string, kf string, mail string, accents string, title string").withColumn("row", F.monotonically_increasing_id()))
+
+
+def _people_forms(rec: DataFrame) -> DataFrame:
     # a key that repeats the name isn't a second use of it
-    forms = rec.select(F.explode(F.array_distinct(F.array("nf", "kf"))).alias("form"), F.struct("accents", "kf", "mail").alias("written"))
-    clusters = link_forms(forms, True)
-    size = lambda c: F.size(F.filter(F.split(c, " "), lambda x: ~x.startswith("~")))
-    named = rec.join(clusters.toDF("nf", "nc"), "nf", "left").join(clusters.toDF("kf", "kc"), "kf", "left")
-    fuller = (F.col("kc").isNotNull()) & (F.col("nc").isNull() | (size(F.col("kc")) > size(F.col("nc"))))
-    named = cut(named.withColumn("cluster", F.when(fuller, F.col("kc")).otherwise(F.col("nc"))))
+    return rec.select(F.lit(PERSON).alias("kind"), F.explode(F.array_distinct(F.array("nf", "kf"))).alias("form"), F.concat_ws("\x1f", "accents", "kf", F.coalesce("mail", F.lit(""))).alias("written"))
+
+
+def _people(rec: DataFrame, clusters: DataFrame) -> DataFrame:
+    each = rec.select("row", F.posexplode(F.array("nf", "kf")).alias("at", "form")).filter("form <> ''").join(clusters, "form")
+    size = F.size(F.filter(F.split("cluster", " "), lambda x: ~x.startswith("~")))
+    # the fuller of name and key; of equally full ones the name
+    chosen = each.groupBy("row").agg(F.min(F.struct((-size).alias("size"), "at", "cluster")).alias("c")).select("row", F.col("c.cluster").alias("cluster"))
+    named = cut(rec.select("row", "record_id", "mail", "accents", "title").join(chosen, "row", "left"))
     known = named.filter("mail is not null and cluster is not null").groupBy("cluster", "mail").agg(F.count(F.lit(1)).alias("n"), F.collect_set("accents").alias("spelt"), F.collect_set("title").alias("titles"))
-    lost = named.filter("mail is null").join(known.withColumnRenamed("mail", "m"), "cluster", "left")
+    lost = named.filter("mail is null and cluster is not null").join(known.withColumnRenamed("mail", "m"), "cluster")
     agree = F.array_contains("spelt", F.col("accents")).cast("int") + 2 * ((F.col("title") != "") & F.array_contains("titles", F.col("title"))).cast("int")
-    best = lost.groupBy("row").agg(F.min(F.when(F.col("m").isNotNull(), F.struct((-agree).alias("x"), (-F.col("n")).alias("y"), F.col("m").alias("m")))).alias("b")).select("row", F.col("b.m").alias("m"))
+    best = lost.groupBy("row").agg(F.min(F.struct((-agree).alias("x"), (-F.col("n")).alias("y"), F.col("m").alias("m"))).alias("b")).select("row", F.col("b.m").alias("m"))
     out = named.join(best, "row", "left")
     mail = F.coalesce("mail", "m")
     person = F.when(mail.isNotNull(), F.concat(F.lit("@"), mail)).when(F.col("cluster").isNotNull(), F.concat(F.lit("n"), "cluster")).otherwise(F.concat(F.lit("r"), F.col("row").cast("string")))
     return out.select("record_id", person.alias("person"))
 
 
-def known_tools(names: DataFrame) -> frozenset[str]:
-    """Tools: single words that end names after "bằng" ("with"), in a share of at least 0.0002 of these names; so there are 5,000 at most."""
-    last = F.regexp_extract(F.lower("skill_name"), r"(?iu)b(?:ằng|ang)[\s_]+\W*([a-z][a-z0-9+#]*)\W*$", 1)
-    ends = names.select(last.alias("t")).filter("t <> ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    total = Window.partitionBy()
-    # one row per ending word; the window only adds them up
-    kept = ends.withColumn("all", F.sum("n").over(total)).filter((F.col("n") >= 2) & (F.col("n") >= 0.0002 * F.col("all"))).select("t").limit(5000)
-    return frozenset(r.t for r in kept.collect())
+def _person_clusters(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    return join_short_forms(nodes.filter(F.col("kind") == PERSON).drop("kind"), groups.filter(F.col("kind") == PERSON).drop("kind"))
 
 
-def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(record_id, skill, written): every record with the class of its skill and its canonical spelling.
+def link_people(teachers: DataFrame) -> DataFrame:
+    """(record_id, person): every record with the class of its person.
 
-    A skill is what remains of the name without its tool, and the tool. Known short forms (``aliases``: alias, full_form, kind) and
-    tools are spelled out, unknown acronyms are matched with the words they stand for. A record without a name is alone. Repeated
-    rows share a class. An empty table gives no rows.
+    An email, spaces and case aside, belongs to one person, who has no other: records with one are settled by it. The others go by
+    their name, or by their key if that is fuller: to the only person with that name; of several, to the one whose accents and title
+    agree best (then the one with most records, then the smallest email). Without any usable name or email a record is alone.
+    Null ids are kept. Repeated rows share a class. An empty table gives no rows.
     """
+    rec = _read_people(teachers)
+    nodes, groups = link_forms(_people_forms(rec))
+    return _people(rec, _person_clusters(nodes, groups))
+
+
+# --- records of skills
+
+
+def known_tools(names: DataFrame) -> frozenset[str]:
+    """Tools: single words that end at least TOOL_SHARE of the distinct names that end with a word after "bằng" ("with")."""
+    last = F.regexp_extract("name", r"(?iu)b(?:ằng|ang)[\s_]+\W*([a-z][a-z0-9+#]*)\W*$", 1)
+    ends = names.select(F.lower("skill_name").alias("name")).distinct().select(last.alias("t")).filter("t <> ''").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # one row per ending word; the window only adds them up
+    kept = ends.withColumn("all", F.sum("n").over(Window.partitionBy())).filter(F.col("n") >= TOOL_SHARE * F.col("all"))
+    return frozenset(r.t for r in kept.select("t").collect())  # 1 / TOOL_SHARE rows at most
+
+
+def _read_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
     t = pick(skills, ["record_id", "skill_name"]).withColumn("record_id", F.col("record_id").cast("long"))
-    table = pick(aliases, ["alias", "full_form", "kind"]).filter("alias is not null and full_form is not null").limit(5000).collect()  # a setting
+    table = pick(aliases, ["alias", "full_form", "kind"]).filter("alias is not null and full_form is not null").limit(MOST_ALIASES + 1).collect()
+    if len(table) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
     named = {" ".join(fold(w) for w in words(r.alias)): " ".join(fold(w) for w in words(r.full_form)) for r in table if r.kind == "tool"}
     phrases = {"".join(fold(w) for w in words(r.alias)): " ".join(fold(w) for w in words(r.full_form)) for r in table if r.kind == "phrase"}
     tools = known_tools(t) | frozenset(named.values())
@@ -302,18 +382,45 @@ def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
                 written.append(canon(s))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in (forms, tool, written))], names=["record_id", "form", "tool", "written"])
 
-    rec = cut(t.mapInArrow(read, "record_id long, form string, tool string, written string").withColumn("row", F.monotonically_increasing_id()))
-    clusters = link_forms(rec.select("form", "written"), False)
+    return cut(t.mapInArrow(read, "record_id long, form string, tool string, written string").withColumn("row", F.monotonically_increasing_id()))
+
+
+def _skill_forms(rec: DataFrame) -> DataFrame:
+    return rec.select(F.lit(SKILL).alias("kind"), "form", "written")
+
+
+def _skills(rec: DataFrame, groups: DataFrame) -> DataFrame:
+    clusters = groups.filter(F.col("kind") == SKILL).drop("kind")
     own = F.concat(F.lit("r"), F.col("row").cast("string"))
     skill = F.when(F.col("cluster").isNotNull(), F.concat(F.lit("s"), "cluster", F.lit(" | "), "tool")).when(F.col("tool") != "", F.concat(F.lit("t"), "tool")).otherwise(own)
     return rec.join(clusters, "form", "left").select("record_id", skill.alias("skill"), "written")
 
 
-def pairs_of(members: DataFrame, group: str, differ: str | None = None) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, of each two records of one class (with ``differ``: whose value of it differs). The result asks for every pair."""
-    m = cut(members.filter(F.col("record_id").isNotNull()).dropDuplicates(["record_id"]))  # both sides read it
+def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(record_id, skill, written): every record with the class of its skill and its canonical spelling.
+
+    A skill is what remains of the name without its tool, and the tool. Known short forms (``aliases``: alias, full_form, kind; more
+    than MOST_ALIASES raise ValueError) and tools are spelled out, unknown acronyms are matched with the words they stand for. A record
+    without a name is alone. Repeated rows share a class. An empty table gives no rows.
+    """
+    rec = _read_skills(skills, aliases)
+    return _skills(rec, link_forms(_skill_forms(rec))[1])
+
+
+def link_people_and_skills(teachers: DataFrame, skills: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """link_people and link_skills, with the forms of both blocked, compared and clustered in one pass."""
+    people, named = _read_people(teachers), _read_skills(skills, aliases)
+    nodes, groups = link_forms(_people_forms(people).unionByName(_skill_forms(named)))
+    return _people(people, _person_clusters(nodes, groups)), _skills(named, groups)
+
+
+def pairs_of(members: DataFrame, group: str | list[str], differ: str | None = None) -> DataFrame:
+    """(groups..., id_a, id_b), id_a < id_b, of each two records of one class (with ``differ``: whose value of it differs). The result asks for every pair."""
+    keys = [group] if isinstance(group, str) else group
+    part = [k for k in keys if k != keys[-1]]
+    m = cut(members.filter(F.col("record_id").isNotNull()).dropDuplicates([*part, "record_id"]))  # both sides read it
     extra = [differ] if differ else []
-    a = m.select(group, F.col("record_id").alias("id_a"), *[F.col(c).alias("wa") for c in extra])
-    b = m.select(group, F.col("record_id").alias("id_b"), *[F.col(c).alias("wb") for c in extra])
-    on = a.join(b, group).filter("id_a < id_b")
-    return (on.filter("wa <> wb") if differ else on).select("id_a", "id_b")
+    a = m.select(*keys, F.col("record_id").alias("id_a"), *[F.col(c).alias("wa") for c in extra])
+    b = m.select(*keys, F.col("record_id").alias("id_b"), *[F.col(c).alias("wb") for c in extra])
+    on = a.join(b, keys).filter("id_a < id_b")
+    return (on.filter("wa <> wb") if differ else on).select(*part, "id_a", "id_b")

@@ -25,11 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = name_variants.link_people(_t(spark, sf_dir, "teacher"))
-    skills = name_variants.link_skills(_t(spark, sf_dir, "skill"), _t(spark, sf_dir, "alias_ref"))
-    a = name_variants.pairs_of(people, "person").select(F.lit("TEACHER").alias("node_type"), "id_a", "id_b")
-    b = name_variants.pairs_of(skills, "skill", differ="written").select(F.lit("SKILL").alias("node_type"), "id_a", "id_b")
-    return a.unionByName(b)
+    people, skills = name_variants.link_people_and_skills(_t(spark, sf_dir, "teacher"), _t(spark, sf_dir, "skill"), _t(spark, sf_dir, "alias_ref"))
+    # of persons every pair counts, so no two records are written alike
+    p = people.select(F.lit("TEACHER").alias("node_type"), "record_id", F.col("person").alias("class"), F.col("record_id").cast("string").alias("written"))
+    k = skills.select(F.lit("SKILL").alias("node_type"), "record_id", F.col("skill").alias("class"), "written")
+    return name_variants.pairs_of(p.unionByName(k), ["node_type", "class"], differ="written")
 
 
 def p2_people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,13 @@ def p2_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(sizes, "person").select("record_id", "class_id", "records")
 
 
+def p2_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per skill record: its class, the number of records that share it, and of spellings."""
+    skills = name_variants.link_skills(_t(spark, sf_dir, "skill"), _t(spark, sf_dir, "alias_ref"))
+    sizes = skills.groupBy("skill").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("written").alias("spellings"), F.min("record_id").alias("class_id"))
+    return skills.join(sizes, "skill").select("record_id", "class_id", "records", "spellings")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_pairs.first_defect(_defects(spark, sf_dir))
 
@@ -100,4 +107,4 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_people, p3_found, p3_defects, p4_found, p4_consensus, p7_ids, p7_lengths, p8_mix, p8_shares, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_people, p2_skills, p3_found, p3_defects, p4_found, p4_consensus, p7_ids, p7_lengths, p8_mix, p8_shares, p9_found, p9_scores)}
