@@ -14,6 +14,7 @@ records change nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -57,38 +58,30 @@ def keys_of(tokens: list[str], persons: bool) -> list[str]:
     """The block keys of a form, the same for forms of any length.
 
     0: the codes of all tokens. 1: those of all but one, and that one with a letter left out or not; or of all but two neighbours, and
-    these run together. Skills, whose names are longer and may have several slips, also have keys under the first letters of their
-    codes: 2: of all but one, and that one as it is; 3: of all but one to five neighbours, and these as an acronym or initial.
+    these run together. Skills, whose names are longer and may have several slips, initials and acronyms, instead have keys 1 only for
+    slips in the first two letters, and 2: the first letters of all codes, and one token as it is. What may be an acronym gives keys 2
+    also with its letters as those of words. So a skill's variants meet that agree in their first letters and one word.
     """
     n = len(tokens)
-    codes = [code(t) for t in tokens]
-    letters = [c[:1] for c in codes]
-
-    def rest(part: list[str], i: int, j: int) -> str:
-        return " ".join(sorted(part[:i] + part[j:]))
-
     if n < 2:
         return []
+    codes = [code(t) for t in tokens]
     out = {"0" + " ".join(sorted(codes))}
+    full = [t for t in tokens if t[0] != "~"]
     for i, t in enumerate(tokens):
-        by_letters = rest(letters, i, i + 1)
-        if t[0] == "~":
-            if not persons:
-                out.add(f"3{by_letters}|{t[1]}")
-            continue
-        by_codes = rest(codes, i, i + 1)
-        out.update(f"1{by_codes}|{v}" for v in _deletions(t))
-        if not persons:
-            out.update((f"2{by_letters}|{t}", f"3{by_letters}|{t[0]}"))
-            if 2 <= len(t) <= 5:
-                out.add(f"3{by_letters}|{t}")
-    for k in range(2, min(5, n - 1) + 1):
-        for i in range(n - k + 1):
-            run = tokens[i : i + k]
-            if k == 2 and run[0][0] != "~" and run[1][0] != "~":
-                out.add(f"1{rest(codes, i, i + k)}|{''.join(run)}")
-            if not persons:
-                out.add(f"3{rest(letters, i, i + k)}|" + "".join(w.lstrip("~")[:1] for w in run))
+        if t[0] != "~":
+            rest = " ".join(sorted(codes[:i] + codes[i + 1 :]))
+            out.update(f"1{rest}|{v}" for v in (_deletions(t) if persons else (t, t[1:], t[0] + t[2:])))
+    for i in range(n - 1):
+        if tokens[i][0] != "~" and tokens[i + 1][0] != "~":
+            out.add(f"1{' '.join(sorted(codes[:i] + codes[i + 2 :]))}|{tokens[i]}{tokens[i + 1]}")
+    if not persons:
+        letters = [c[:1] for c in codes]
+        spelled = ["".join(sorted(letters))]
+        for i, t in enumerate(tokens):
+            if 2 <= len(t) <= 5 and t[0] != "~" and not is_syllable(t):
+                spelled.append("".join(sorted([*letters[:i], *(code(c) for c in t), *letters[i + 1 :]])))
+        out.update(f"2{x}|{t}" for x in spelled for t in full)
     return sorted(out)
 
 
@@ -209,22 +202,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _exploded(df: DataFrame, keys, kept: list[str]) -> DataFrame:
-    """(k, first, kept...): one row per key of ``form``; first is the first of its keys."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [keys(f, p) for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            at = pa.array([i for i, ks in enumerate(found) for _ in ks], pa.int64())
-            firsts = pa.array([ks[0] for ks in found for _ in ks], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([k for ks in found for k in ks], pa.string()), firsts, *(b.column(i).take(at) for i in range(2, b.num_columns))], names=["k", "first", *kept])
-
-    return df.select("form", "kind", *[F.col(c).alias(f"_{c}") for c in kept]).mapInArrow(run, f"k string, first string, {types}")
+def _hash(key: str) -> int:
+    return int.from_bytes(hashlib.blake2b(key.encode("utf8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _nodes(forms: DataFrame) -> DataFrame:
-    """(kind, form, uses, known, rarest): the distinct forms, how many spellings each has, 1 or 0 for each token that is well known or not, and how many forms have its rarest token."""
+    """(id, kind, form, uses, known, rarest): the distinct forms, numbered, how many spellings each has, 1 or 0 for each token that is well known or not, and how many forms have its rarest token."""
     nodes = forms.filter("form <> ''").distinct().groupBy("kind", "form").agg(F.count(F.lit(1)).alias("uses"))
     each = nodes.select("kind", "form", F.posexplode(F.split("form", " ")).alias("at", "token"))
     total = nodes.groupBy("kind").agg(F.greatest(F.lit(float(KNOWN_LEAST)), F.lit(KNOWN_SHARE) * F.count(F.lit(1))).alias("total"))  # one row per kind
@@ -232,65 +215,70 @@ def _nodes(forms: DataFrame) -> DataFrame:
     # what isn't built as a syllable has to be five times as common: names and terms are, slips aren't
     known = (F.col("n") >= F.col("total") * F.when(F.col("token").rlike(SYLLABLE), 1.0).otherwise(5.0)).cast("int").cast("string")
     marked = each.join(counts.select("kind", "token", "n", known.alias("known")), ["kind", "token"]).groupBy("kind", "form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "known"))), lambda x: x["known"]), "").alias("known"), F.min("n").alias("rarest"))
-    return nodes.join(marked, ["kind", "form"])
+    return cut(nodes.join(marked, ["kind", "form"]).withColumn("id", F.monotonically_increasing_id()))  # so the numbers stay
 
 
-def link_forms(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((kind, form, uses, known, rarest), (kind, form, cluster)): every distinct form (its tokens joined by spaces) with the smallest form of its cluster, within its kind.
+def link_forms(forms: DataFrame) -> DataFrame:
+    """(id, kind, form, uses, known, rarest, cluster): every distinct form (its tokens joined by spaces); cluster is the smallest id of its cluster.
 
     ``forms``: (kind, form, written); kind is PERSON or SKILL, written is what tells records apart; equal rows count once, so copies
     of a record don't make its form commoner. No form is left out and no block is capped. Single tokens are linked only to equal ones.
+    Only ids and hashes are blocked; equal hashes of different keys do no harm, as the comparison follows.
     """
-    nodes = cut(_nodes(forms))
+    nodes = _nodes(forms)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs, whole, at = [], [], []
+            for i, (kind, form) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                keys = keys_of(form.split(" "), kind == PERSON)
+                same = _hash(keys[0]) if keys else 0
+                hs += [_hash(kind + k) for k in keys]
+                whole += [None if k[0] == "0" else same for k in keys]  # equal codes meet once, under the key of all of them
+                at += [i] * len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(whole, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], names=["h", "whole", "id"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = lambda k: [c == "1" for c in k]
         for b in batches:
-            keep = [
-                alike(x.split(" "), [c == "1" for c in kx], nx, y.split(" "), [c == "1" for c in ky], ny, p == PERSON)
-                for p, x, nx, kx, y, ny, ky in zip(*(b.column(i).to_pylist() for i in range(7)))
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], names=["kind", "a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    wide = _spread(nodes).withColumn("node", F.struct("kind", "form", "uses", "known"))
-    index = _exploded(wide, lambda f, p: keys_of(f.split(" "), p == PERSON), ["node"])
-    # equal codes meet once, under the key of all of them
-    index = index.select(F.xxhash64("k", "node.kind").alias("h"), F.when(F.col("k") != F.col("first"), F.xxhash64("first")).alias("codes"), "node")
-    a, b = index.toDF("h", "ca", "x"), index.select("h", F.col("codes").alias("cb"), F.col("node").alias("y"))
-    met = a.join(b, "h").filter("x.form < y.form and x.kind = y.kind and (ca is null or ca <> cb)").select("x.kind", F.col("x.form").alias("a"), F.col("x.uses").alias("na"), F.col("x.known").alias("ka"), F.col("y.form").alias("b"), F.col("y.uses").alias("nb"), F.col("y.known").alias("kb"))
-    edges = met.distinct().mapInArrow(judge, "kind string, a string, b string")
-    named = lambda c: F.concat("kind", F.lit(" "), c)
-    groups = connected_components(nodes.select(named("form").alias("form")), edges.select(named("a").alias("a"), named("b").alias("b")))
-    groups = cut(groups)
-    return nodes, groups.select(F.substring("form", 1, 1).alias("kind"), F.expr("substring(form, 3)").alias("form"), F.expr("substring(cluster, 3)").alias("cluster"))
-
-
-def join_short_forms(nodes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(form, cluster) of persons: a cluster of short forms becomes part of the only cluster that it can stand for.
-
-    Each cluster is represented by the form whose rarest token is commonest (a slip is rare; then most spellings, smallest). Keys are
-    aggregated, not joined with each other: of a key the number of clusters and the smallest and largest one say whether there is a
-    single one. Clusters that are short forms themselves don't stand for anything.
+            keep = [alike(x.split(" "), flags(kx), nx, y.split(" "), flags(ky), ny, p == PERSON) for p, x, nx, kx, y, ny, ky in zip(*(b.column(i).to_pylist() for i in range(2, 9)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ix = _spread(nodes).select("id", "kind", "form").mapInArrow(index, "h long, whole long, id long")
+    met = ix.toDF("h", "wa", "a").join(ix.toDF("h", "wb", "b"), "h").filter("a < b and (wa is null or wa <> wb)").select("a", "b").distinct()
+    one = lambda x: nodes.select(F.col("id").alias(x), "kind", F.col("form").alias(f"f{x}"), F.col("uses").alias(f"n{x}"), F.col("known").alias(f"k{x}"))
+    wide = met.join(one("a"), "a").join(one("b").drop("kind"), "b").select("a", "b", "kind", "fa", "na", "ka", "fb", "nb", "kb")
+    edges = wide.mapInArrow(judge, "a long, b long")
+    groups = connected_components(nodes.select(F.col("id").alias("form")), edges).toDF("id", "cluster")
+    return cut(nodes.join(groups, "id"))
+
+
+def join_short_forms(forms: DataFrame) -> DataFrame:
+    """(form, cluster) of persons' ``forms`` (of link_forms): a cluster of short forms becomes part of the only cluster that it can stand for.
+
+    Each cluster is represented by the form whose rarest token is commonest (a slip is rare; then most spellings, smallest). A form
+    looks itself up under its own key, so a key has hardly more than one form that looks, however many names can be shortened to it;
+    what they can stand for is counted, not compared with each other. Clusters that are short forms themselves don't stand for anything.
     """
-    c = cut(clusters.join(nodes, "form").select("form", "cluster", "uses", "rarest"))
-    whole = ~F.contains("form", F.lit("~"))
-    best = c.filter(whole).groupBy("cluster").agg(F.min(F.struct((-F.col("rarest")).alias("rarest"), (-F.col("uses")).alias("uses"), "form")).alias("r")).select("cluster", F.col("r.form").alias("form"), F.lit(PERSON).alias("kind"))
-    index = cut(_exploded(_spread(cut(best)), lambda f, _: short_keys_of(f.split(" ")), ["cluster"]).select("k", F.col("cluster").alias("full")))
-    looked = cut(_exploded(_spread(c).withColumn("kind", F.lit(PERSON)), lambda f, _: short_lookups_of(f.split(" ")), ["cluster"]).select("k", "cluster").distinct())
-
-    def stands_for(live: DataFrame) -> DataFrame:
-        """(cluster, low, high): the smallest and largest cluster each may stand for; keys of the names as they are come first."""
-        by_key = live.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("lo"), F.max("full").alias("hi"))
-        hit = looked.join(by_key, "k").filter("n > 1 or lo <> cluster")
-        # of two clusters, one of which is the own one, the other is left
-        low = F.when((F.col("n") == 2) & (F.col("lo") == F.col("cluster")), F.col("hi")).otherwise(F.col("lo"))
-        high = F.when((F.col("n") == 2) & (F.col("hi") == F.col("cluster")), F.col("lo")).otherwise(F.col("hi"))
-        exact = F.col("k").startswith("e")
-        at = lambda f, e, v: f(F.when(e, v))
-        return hit.groupBy("cluster").agg(F.coalesce(at(F.min, exact, low), at(F.min, ~exact, low)).alias("low"), F.coalesce(at(F.max, exact, high), at(F.max, ~exact, high)).alias("high"))
-
-    short = stands_for(index).select(F.col("cluster").alias("full"))
-    only = stands_for(index.join(short, "full", "left_anti")).filter("low = high").select("cluster", "low")
-    return c.join(only, "cluster", "left").select("form", F.coalesce("low", "cluster").alias("cluster"))
+
+    def keys(of, out: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [of(f.split(" ")) for f in b.column(1).to_pylist()]
+                at = pa.array([i for i, ks in enumerate(found) for _ in ks], pa.int64())
+                ks = [k for ks in found for k in ks]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_hash, ks), pa.int64()), pa.array([k[0] == "e" for k in ks], pa.bool_()), b.column(0).take(at)], names=["h", "exact", out])
+
+        return run
+
+    best = forms.filter(~F.contains("form", F.lit("~"))).groupBy("cluster").agg(F.min(F.struct((-F.col("rarest")).alias("rarest"), (-F.col("uses")).alias("uses"), "form")).alias("r")).select("cluster", F.col("r.form").alias("form"))
+    index = best.repartition(forms.sparkSession.sparkContext.defaultParallelism, "cluster").mapInArrow(keys(short_keys_of, "full"), "h long, exact boolean, full long")
+    looked = forms.select("cluster", "form").mapInArrow(keys(short_lookups_of, "cluster"), "h long, exact boolean, cluster long").select("h", "cluster").distinct()
+    hits = cut(index.join(looked, "h").filter("full <> cluster").select("cluster", "exact", "full").distinct())
+    full = hits.join(hits.select(F.col("cluster").alias("full")).distinct(), "full", "left_anti")
+    at = lambda f: F.coalesce(f(F.when(F.col("exact"), F.col("full"))), f(F.when(~F.col("exact"), F.col("full"))))  # noqa: E731  names as they are come first
+    only = full.groupBy("cluster").agg(at(F.min).alias("low"), at(F.max).alias("high")).filter("low = high").select("cluster", "low")
+    return forms.join(only, "cluster", "left").select("form", F.coalesce("low", "cluster").alias("cluster"))
 
 
 # --- records of persons
@@ -319,10 +307,10 @@ def _people_forms(rec: DataFrame) -> DataFrame:
 
 
 def _people(rec: DataFrame, clusters: DataFrame) -> DataFrame:
+    parts = F.size(F.filter(F.split("form", " "), lambda x: ~x.startswith("~")))
     each = rec.select("row", F.posexplode(F.array("nf", "kf")).alias("at", "form")).filter("form <> ''").join(clusters, "form")
-    size = F.size(F.filter(F.split("cluster", " "), lambda x: ~x.startswith("~")))
     # the fuller of name and key; of equally full ones the name
-    chosen = each.groupBy("row").agg(F.min(F.struct((-size).alias("size"), "at", "cluster")).alias("c")).select("row", F.col("c.cluster").alias("cluster"))
+    chosen = each.groupBy("row").agg(F.min(F.struct((-parts).alias("parts"), "at", "cluster")).alias("c")).select("row", F.col("c.cluster").alias("cluster"))
     named = cut(rec.select("row", "record_id", "mail", "accents", "title").join(chosen, "row", "left"))
     known = named.filter("mail is not null and cluster is not null").groupBy("cluster", "mail").agg(F.count(F.lit(1)).alias("n"), F.collect_set("accents").alias("spelt"), F.collect_set("title").alias("titles"))
     lost = named.filter("mail is null and cluster is not null").join(known.withColumnRenamed("mail", "m"), "cluster")
@@ -334,10 +322,6 @@ def _people(rec: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.select("record_id", person.alias("person"))
 
 
-def _person_clusters(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    return join_short_forms(nodes.filter(F.col("kind") == PERSON).drop("kind"), groups.filter(F.col("kind") == PERSON).drop("kind"))
-
-
 def link_people(teachers: DataFrame) -> DataFrame:
     """(record_id, person): every record with the class of its person.
 
@@ -347,8 +331,7 @@ def link_people(teachers: DataFrame) -> DataFrame:
     Null ids are kept. Repeated rows share a class. An empty table gives no rows.
     """
     rec = _read_people(teachers)
-    nodes, groups = link_forms(_people_forms(rec))
-    return _people(rec, _person_clusters(nodes, groups))
+    return _people(rec, join_short_forms(link_forms(_people_forms(rec))))
 
 
 # --- records of skills
@@ -389,10 +372,10 @@ def _skill_forms(rec: DataFrame) -> DataFrame:
     return rec.select(F.lit(SKILL).alias("kind"), "form", "written")
 
 
-def _skills(rec: DataFrame, groups: DataFrame) -> DataFrame:
-    clusters = groups.filter(F.col("kind") == SKILL).drop("kind")
+def _skills(rec: DataFrame, forms: DataFrame) -> DataFrame:
+    clusters = forms.select("form", "cluster")
     own = F.concat(F.lit("r"), F.col("row").cast("string"))
-    skill = F.when(F.col("cluster").isNotNull(), F.concat(F.lit("s"), "cluster", F.lit(" | "), "tool")).when(F.col("tool") != "", F.concat(F.lit("t"), "tool")).otherwise(own)
+    skill = F.when(F.col("cluster").isNotNull(), F.concat(F.lit("s"), F.col("cluster").cast("string"), F.lit(" | "), "tool")).when(F.col("tool") != "", F.concat(F.lit("t"), "tool")).otherwise(own)
     return rec.join(clusters, "form", "left").select("record_id", skill.alias("skill"), "written")
 
 
@@ -404,14 +387,14 @@ def link_skills(skills: DataFrame, aliases: DataFrame) -> DataFrame:
     without a name is alone. Repeated rows share a class. An empty table gives no rows.
     """
     rec = _read_skills(skills, aliases)
-    return _skills(rec, link_forms(_skill_forms(rec))[1])
+    return _skills(rec, link_forms(_skill_forms(rec)))
 
 
 def link_people_and_skills(teachers: DataFrame, skills: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """link_people and link_skills, with the forms of both blocked, compared and clustered in one pass."""
     people, named = _read_people(teachers), _read_skills(skills, aliases)
-    nodes, groups = link_forms(_people_forms(people).unionByName(_skill_forms(named)))
-    return _people(people, _person_clusters(nodes, groups)), _skills(named, groups)
+    forms = link_forms(_people_forms(people).unionByName(_skill_forms(named)))
+    return _people(people, join_short_forms(forms.filter(F.col("kind") == PERSON))), _skills(named, forms.filter(F.col("kind") == SKILL))
 
 
 def pairs_of(members: DataFrame, group: str | list[str], differ: str | None = None) -> DataFrame:
