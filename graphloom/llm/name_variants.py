@@ -245,7 +245,8 @@ def link_forms(forms: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ix = _spread(nodes).select("id", "kind", "form").mapInArrow(index, "h long, whole long, id long")
-    met = ix.toDF("h", "wa", "a").join(ix.toDF("h", "wb", "b"), "h").filter("a < b and (wa is null or wa <> wb)").select("a", "b").distinct()
+    # planned as a merge: what a few forms unfold to is estimated by their own size, and would be broadcast
+    met = ix.toDF("h", "wa", "a").hint("merge").join(ix.toDF("h", "wb", "b"), "h").filter("a < b and (wa is null or wa <> wb)").select("a", "b").distinct()
     one = lambda x: nodes.select(F.col("id").alias(x), "kind", F.col("form").alias(f"f{x}"), F.col("uses").alias(f"n{x}"), F.col("known").alias(f"k{x}"))
     wide = met.join(one("a"), "a").join(one("b").drop("kind"), "b").select("a", "b", "kind", "fa", "na", "ka", "fb", "nb", "kb")
     edges = wide.mapInArrow(judge, "a long, b long")
@@ -274,7 +275,7 @@ def join_short_forms(forms: DataFrame) -> DataFrame:
     best = forms.filter(~F.contains("form", F.lit("~"))).groupBy("cluster").agg(F.min(F.struct((-F.col("rarest")).alias("rarest"), (-F.col("uses")).alias("uses"), "form")).alias("r")).select("cluster", F.col("r.form").alias("form"))
     index = best.repartition(forms.sparkSession.sparkContext.defaultParallelism, "cluster").mapInArrow(keys(short_keys_of, "full"), "h long, exact boolean, full long")
     looked = forms.select("cluster", "form").mapInArrow(keys(short_lookups_of, "cluster"), "h long, exact boolean, cluster long").select("h", "cluster").distinct()
-    hits = cut(index.join(looked, "h").filter("full <> cluster").select("cluster", "exact", "full").distinct())
+    hits = cut(index.hint("merge").join(looked, "h").filter("full <> cluster").select("cluster", "exact", "full").distinct())
     full = hits.join(hits.select(F.col("cluster").alias("full")).distinct(), "full", "left_anti")
     at = lambda f: F.coalesce(f(F.when(F.col("exact"), F.col("full"))), f(F.when(~F.col("exact"), F.col("full"))))  # noqa: E731  names as they are come first
     only = full.groupBy("cluster").agg(at(F.min).alias("low"), at(F.max).alias("high")).filter("low = high").select("cluster", "low")

@@ -126,3 +126,61 @@ def test_copies_of_a_misspelt_record_dont_undo_its_link(spark):
         k = spark.createDataFrame(list(enumerate(names + rest + ["Bảo vệ cơ sở dữ liệu lam"] * n)), "record_id long, skill_name string")
         skill = {r.record_id: r.skill for r in V.link_skills(k, alias).collect()}
         assert all(skill[0] == skill[len(names + rest) + i] for i in range(n))
+
+
+def test_pairs_are_decided_by_jaro_winkler():
+    known = {"bao", "ve", "du", "lieu", "lon", "kiem", "thu", "toan"}
+    judge = lambda a, b, na=1, nb=9, persons=False: V.alike(a.split(), [t in known for t in a.split()], na, b.split(), [t in known for t in b.split()], nb, persons)
+    assert judge("bao ve du lieu lno", "bao ve du lieu lon") and judge("bao ve dl lon", "bao ve du lieu lon") and judge("~b ve du lieu lon", "bao ve du lieu lon")
+    assert jaro_winkler("xyz", "lon") < V.LEAST_JW and not judge("bao ve du lieu xyz", "bao ve du lieu lon")
+    assert not judge("kiem thu du lieu lon", "kiem toan du lieu lon")  # both well known
+    for a, b in combinations(["bao ve du lieu lno", "bao ve du lieu lon", "kiem thu du lieu lon", "bao vee du lieu lon"], 2):
+        assert judge(a, b, 2, 2) == judge(b, a, 2, 2)
+
+
+def test_keys_of_long_forms_follow_the_same_rule():
+    for n in (5, 8, 15, 40):
+        name = [f"t{chr(97 + i % 26)}{'bcdghk'[i % 6]}" for i in range(n)]
+        slip = [*name[:2], name[2] + "x", *name[3:]]
+        for persons in (True, False):
+            assert set(V.keys_of(name, persons)) & set(V.keys_of(slip, persons))
+            assert len(V.keys_of(name, persons)) <= 8 * n + n * n  # of words that may all be acronyms
+        assert set(V.short_keys_of(name)) >= set(V.short_lookups_of(name[:-1])) and set(V.short_keys_of(name)) >= set(V.short_lookups_of(name[:3]))
+        assert set(V.short_keys_of(name)) >= set(V.short_lookups_of([*(f"~{t[0]}" for t in name[:-1]), name[-1]]))
+
+
+def test_names_that_share_common_parts_make_no_block():
+    first, middle = ["nguyen", "tran"], ["van", "thi"]
+    ends = [a + b + c for a in ("b", "ch", "d", "h", "kh", "l", "m", "ng", "ph", "q", "s", "t", "v", "x") for b in ("a", "e", "i", "o", "u") for c in ("", "c", "m", "n", "ng", "t")]
+    names = [f"{f} {m} {e}" for f in first for m in middle for e in ends]
+    blocks = defaultdict(int)
+    for n in names:
+        for k in V.keys_of(n.split(), True):
+            blocks[k] += 1
+    assert len(names) == 1680 and max(blocks.values()) <= 30  # 420 names share their first two parts
+
+
+def test_aliases_beyond_the_bound_are_refused_and_within_it_all_count(spark, monkeypatch):
+    k = spark.createDataFrame([(1, "Bảo vệ cơ sở bằng Rust"), (2, "Bảo vệ cơ sở bằng Zz9")], "record_id long, skill_name string")
+    alias = spark.createDataFrame([(f"zz{i}", "Rust" if i == 9 else f"Tool{i}", "tool") for i in range(12)], "alias string, full_form string, kind string")
+    monkeypatch.setattr(V, "MOST_ALIASES", 12)
+    assert V.link_skills(k, alias).count() == 2
+    monkeypatch.setattr(V, "MOST_ALIASES", 11)
+    with pytest.raises(ValueError):
+        V.link_skills(k, alias)
+
+
+def test_components_that_are_not_done_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    nodes = spark.range(301).toDF("form")
+    with pytest.raises(RuntimeError):
+        connected_components(nodes, edges, most_rounds=2)
+    assert connected_components(nodes, edges).filter("cluster <> 0").count() == 0
+
+
+def test_classes_of_skills(spark, data):
+    from graphloom.llm import queries as Q
+
+    got = Q.p2_skills(spark, data)
+    assert got.columns == ["record_id", "class_id", "records", "spellings"] and got.count() == spark.read.parquet(f"{data}/skill.parquet").count()
+    assert got.filter("class_id > record_id or records < spellings").count() == 0
