@@ -44,6 +44,6 @@ def merge_edges(rels: DataFrame, ends: list[str], props: list[str], seq: str = "
 
 
 def resolve(rels: DataFrame, nodes: DataFrame, label: str, key: str, out: str) -> DataFrame:
-    """rels with the node id of an endpoint given by key; keys shared by several nodes fan out."""
-    ids = nodes.filter(F.col("label") == label).select(F.col("entity_key").alias(key), F.col("node_id").alias(out))
-    return rels.join(ids, key)
+    """rels with the node id of the end that the columns ``label`` and ``key`` name; keys shared by several nodes fan out, unknown ones drop out."""
+    ids = nodes.filter(has("entity_key")).select(F.col("label").alias(label), F.col("entity_key").alias(key), F.col("node_id").alias(out))
+    return rels.join(ids, [label, key])

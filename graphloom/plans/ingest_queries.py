@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined
 from graphloom.model import NODES_BY_DOCTYPE, REL_TYPES
-from graphloom.operators import ingest, mapping, repair, upsert
+from graphloom.operators import ingest, load, mapping, repair, upsert
 from graphloom.sources import domain, fixture_graph
 
 Q: dict = {}
@@ -147,6 +147,57 @@ SELECT from_career_key, to_skill_key, required_level FROM e LEFT JOIN r ON a = f
 )
 
 
+for _t, _k, _v in (("skill", "skill_name", ["skill_key", "skill_type"]), ("career", "career_name_vi", ["career_key", "career_name_en", "field_name"])):
+    _add(f"upsert_{_t}", lambda s, d, a=(_t, _k, _v): upsert.last_nonempty_wins(_seq(domain.table(s, d, a[0]), "file_name", "pos", "record_id"), a[1], a[2]), f"SELECT {_k}, " + ", ".join(_NE.format(c) for c in _v) + f" FROM {_t} WHERE {_k} <> '' GROUP BY {_k}")
+
+
+# --- the whole load: documents to nodes, edges and totals
+def _node_records(s: SparkSession, d: str) -> DataFrame:
+    """Node records of the four tables, and of the catalogue of subjects (as a document that comes first)."""
+    parts = [_seq(domain.table(s, d, t).withColumn("type", F.lit(label)), "file_name", "pos", "record_id").drop("extracted_at", "ingested_at", "file_name", "pos", "record_id", "doctype", "node_json", "source_name") for label, (t, _, _) in domain.NODE_TABLES.items()]
+    none = F.struct(F.lit(-1).alias("folder"), F.lit(None).cast("string").alias("file_name"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("record_id"))
+    catalogue = domain.table(s, d, "subject").select(F.lit("catalogue").alias("doc_id"), F.lit("SUBJECT").alias("type"), "subject_code", "subject_name_vi", "subject_name_en", none.alias("seq"))
+    return load.node_records(load.union_tables([*parts, catalogue]))
+
+
+def _rel_records(s: SparkSession, d: str) -> DataFrame:
+    return load.rel_records(_seq(domain.table(s, d, "relationships"), "rel_id"))
+
+
+def _load_edges(s: SparkSession, d: str) -> DataFrame:
+    return load.load_edges(_rel_records(s, d), load.load_nodes(_node_records(s, d))).drop("edge_id")
+
+
+def _tr(c: str) -> str:
+    return rf"coalesce(regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g'), '')"
+
+
+_LN = f"""nr AS (SELECT doc_id, 'MAJOR' AS label, {_tr('major_code')} AS key, {_tr('major_code')} AS ek, {_tr('major_name_vi')} AS name, {_tr('major_name_en')} AS name_en, {_tr('major_code')} AS code, '' AS email, '' AS title, '' AS skill_type, '' AS field_name, ({_RANK}, file_name, pos, record_id) AS seq FROM major
+ UNION ALL SELECT doc_id, 'SKILL', {_tr('skill_name')}, {_tr('skill_key')}, {_tr('skill_name')}, '', '', '', '', {_tr('skill_type')}, '', ({_RANK}, file_name, pos, record_id) FROM skill
+ UNION ALL SELECT doc_id, 'CAREER', coalesce(nullif({_tr('career_name_vi')}, ''), {_tr('career_name_en')}), {_tr('career_key')}, coalesce(nullif({_tr('career_name_vi')}, ''), {_tr('career_name_en')}), {_tr('career_name_en')}, '', '', '', '', {_tr('field_name')}, ({_RANK}, file_name, pos, record_id) FROM career
+ UNION ALL SELECT doc_id, 'TEACHER', {_tr('name')}, {_tr('teacher_key')}, {_tr('name')}, '', '', {_tr('email')}, {_tr('title')}, '', '', ({_RANK}, file_name, pos, record_id) FROM teacher
+ UNION ALL SELECT 'catalogue', 'SUBJECT', {_tr('subject_code')}, {_tr('subject_code')}, {_tr('subject_name_vi')}, {_tr('subject_name_en')}, {_tr('subject_code')}, '', '', '', '', (-1, '', 0, 0) FROM subject),
+ln AS (SELECT label || ':' || key AS node_id, label, arg_max(ek, seq) FILTER (ek <> '') AS entity_key, CASE WHEN label IN ('MAJOR', 'SUBJECT') THEN arg_max(name, seq) ELSE key END AS name,
+  CASE WHEN label IN ('MAJOR', 'SUBJECT') THEN arg_max(name_en, seq) WHEN label = 'CAREER' THEN arg_max(name_en, seq) FILTER (name_en <> '') END AS name_en, CASE WHEN label IN ('MAJOR', 'SUBJECT') THEN key END AS code,
+  arg_max(email, seq) FILTER (email <> '') AS email, arg_max(title, seq) FILTER (title <> '') AS title, arg_max(skill_type, seq) FILTER (skill_type <> '') AS skill_type, arg_max(field_name, seq) FILTER (field_name <> '') AS field_name FROM nr WHERE key <> '' GROUP BY label, key)"""
+_KINDS = [(kind, *v) for kind, v in REL_TYPES.items()]
+_CASE = lambda i: "CASE rel_type " + " ".join(f"WHEN '{k[0]}' THEN {k[i] if i in (3, 5) else repr(k[i])}" for k in _KINDS) + " END"
+_LE = f"""rr AS (SELECT doc_id, {_CASE(1)} AS kind, {_CASE(2)} AS fl, {_tr(_CASE(3))} AS fk, {_CASE(4)} AS tl, {_tr(_CASE(5))} AS tk, CASE WHEN rel_type = 'major_offers_subject' AND regexp_full_match({_tr('semester')}, '[+-]?[0-9]+') THEN try_cast({_tr('semester')} AS INT) END AS semester,
+  CASE WHEN rel_type = 'major_offers_subject' THEN nullif({_tr('required_type')}, '') END AS required_type, CASE WHEN rel_type = 'career_requires_skill' THEN nullif({_tr('required_level')}, '') END AS required_level, ({_RANK}, rel_id) AS seq FROM relationships),
+le AS (SELECT a.node_id AS src, b.node_id AS dst, kind AS rel_type, semester, required_type, required_level, min(seq) AS first FROM rr JOIN ln a ON a.label = fl AND a.entity_key = fk JOIN ln b ON b.label = tl AND b.entity_key = tk WHERE fk <> '' AND tk <> '' GROUP BY ALL),
+ri AS (SELECT src, dst, rel_type, min(first) AS rich FROM le WHERE semester IS NOT NULL OR required_type IS NOT NULL OR required_level IS NOT NULL GROUP BY ALL)"""
+_add("load_nodes", lambda s, d: load.load_nodes(_node_records(s, d)), f"WITH {_LN} SELECT * FROM ln")
+_add(
+    "load_edges", _load_edges,
+    f"WITH {_LN}, {_LE} SELECT le.src, le.dst, le.rel_type, semester, required_type, required_level FROM le LEFT JOIN ri ON le.src = ri.src AND le.dst = ri.dst AND le.rel_type = ri.rel_type WHERE semester IS NOT NULL OR required_type IS NOT NULL OR required_level IS NOT NULL OR rich IS NULL OR first < rich",
+)
+_add(
+    "load_totals", lambda s, d: load.totals(_node_records(s, d), _rel_records(s, d)),
+    f"""WITH {_LN}, {_LE} SELECT doc_id, sum(a)::BIGINT AS nodes_ok, sum(b)::BIGINT AS nodes_failed, sum(c)::BIGINT AS rels_ok, sum(d)::BIGINT AS rels_failed FROM (SELECT doc_id, (key <> '')::INT AS a, (key = '')::INT AS b, 0 AS c, 0 AS d FROM nr
+ UNION ALL SELECT doc_id, 0, 0, (kind IS NOT NULL AND fk <> '' AND tk <> '')::INT, (kind IS NULL OR fk = '' OR tk = '')::INT FROM rr) GROUP BY doc_id""",
+)
+
+
 # --- duplicate majors, planted into the fixture graph
 def planted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The fixture graph with, for every fifth nation, a major whose code is its name, one in other case, and one each without and with a bad code."""
