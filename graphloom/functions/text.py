@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,25 @@ def same_name(a: Column, b: Column) -> Column:
     return (p == q) | F.contains(p, q) | F.contains(q, p)
 
 
+def _bare_letters() -> tuple[str, str]:
+    """Small accented Latin letters and the letters below their accents, by Unicode decomposition."""
+    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xDF, 0x1F00))]
+    pairs = [(c, b) for c, b in pairs if c != b and b.isascii() and b.islower()] + [("đ", "d")]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _BARE = _bare_letters()
+#: Academic titles before a name, with or without a stop.
+_TITLE = r"^(?:(?:pgs|gs|ths|ts)\.?\s+|(?:pgs|gs|ths|ts)\.\s*)+"
+
+
+def slug(x: Column | str) -> Column:
+    """A key made of a name: small letters without accents and titles, everything else as single underscores."""
+    low = F.regexp_replace(strip(F.lower(_c(x))), _TITLE, "")
+    plain = F.regexp_replace(F.translate(low, _ACCENTED, _BARE), r"\p{M}+", "")
+    return F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
 def ordered_distinct(*arrays: Column) -> Column:
     """Distinct elements in the order first seen."""
     return F.array_distinct(F.concat(*arrays))

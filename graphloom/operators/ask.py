@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.model import COMMUNITIES, TEMPLATES
-from graphloom.operators import aggregate, context, match, route, traverse
+from graphloom.operators import aggregate, context, match, providers, route, traverse
 from graphloom.session import cut
 
 _PATH = "path_names array<string>, path_kinds array<string>"
@@ -124,6 +124,7 @@ def ask(nodes: DataFrame, edges: DataFrame, questions: DataFrame, intents: DataF
     found = best.select("query_id", F.col("first_seq").alias("position"), "name", "label", "code", "hops")
     steps = match.path_steps(rows.filter("size(rel_types) > 0"), ["query_id", "seq"])
     paths = steps.select("query_id", F.struct("seq", "hop").alias("seq"), F.col("from_node").alias("from"), F.col("to_node").alias("to"), "relation", "hop")
-    base = plans.select("query_id", "query", F.lit(None).cast("string").alias("generated_answer"), "keywords", "community", "answer_rule", F.coalesce("aggregation", F.lit("traversal")).alias("algorithm"))
+    base = plans.select("query_id", "query", F.lit(None).cast("string").alias("generated_answer"), "keywords", "negated", "community", "answer_rule", F.coalesce("aggregation", F.lit("traversal")).alias("algorithm"))
     out = context.records(base, found, paths)
-    return context.answer(context.prompt(out), provider).drop("context") if provider else out
+    out = providers.answer(context.prompt(out), provider).drop("context") if provider else out
+    return out.drop("context_paths", "negated")

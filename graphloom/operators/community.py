@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,43 @@ def projection(nodes: DataFrame, edges: DataFrame, community: str) -> DataFrame:
     return e.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.sum("w").alias("w"))
 
 
+def scope(nodes: DataFrame, edges: DataFrame, community: str, major_code: str | None = None, skill_name: str | None = None) -> DataFrame:
+    """Nodes of a definition's labels; at level three only those that the major of this code offers, or that provide or require the skill of this name."""
+    level, labels, _ = COMMUNITIES[community]
+    own = nodes.filter(F.col("label").isin(labels))
+    if level != 3:
+        return own
+    if community == "L3_MAJOR_CENTRIC":
+        at = nodes.filter((F.col("label") == "MAJOR") & (F.col("code") == major_code)).select(F.col("node_id").alias("src"))
+        near = edges.filter("rel_type = 'OFFERS'").join(at, "src", "left_semi").select(F.col("dst").alias("node_id"))
+    else:
+        at = nodes.filter((F.col("label") == "SKILL") & (F.col("name") == skill_name)).select(F.col("node_id").alias("dst"))
+        near = edges.filter("rel_type in ('PROVIDES', 'REQUIRES')").join(at, "dst", "left_semi").select(F.col("src").alias("node_id"))
+    return own.join(near, "node_id", "left_semi")
+
+
+def build(nodes: DataFrame, edges: DataFrame, detect: bool = True, rebuild: bool = False) -> DataFrame:
+    """nodes with community_L1, community_L2 and community_L3 (as text), by Louvain or, without ``detect``, by rule.
+
+    The five definitions are built in order; where two of one level share a label, the later one's value stays. Nothing is done if some
+    node has a community_L2 already, unless ``rebuild``.
+    """
+    if "community_L2" in nodes.columns and not rebuild and not nodes.filter("community_L2 is not null").isEmpty():
+        return nodes
+    out = nodes.drop("community_L1", "community_L2", "community_L3").join(level_one(nodes).select("node_id", F.col("community").cast("string").alias("community_L1")), "node_id", "left")
+    for level in (2, 3):
+        name = f"community_L{level}"
+        if detect:
+            parts = [louvain(nodes, edges, c).toDF("node_id", f"_{i}") for i, c in enumerate(c for c, v in COMMUNITIES.items() if v[0] == level)]
+            for p in parts:
+                out = out.join(p, "node_id", "left")
+            found = [f"_{i}" for i in range(len(parts))]
+            out = out.withColumn(name, F.coalesce(*found[::-1])).drop(*found)
+        else:
+            out = out.join(by_rule(nodes, level).select("node_id", F.col("community").cast("string").alias(name)), "node_id", "left")
+    return out
+
+
 def modularity(graph: DataFrame, members: DataFrame, resolution: float = 1.0) -> float:
     """Newman's modularity of (node, community) over (u, v, w); 0 for a graph without edges."""
     both = graph.join(members.toDF("u", "cu"), "u").join(members.toDF("v", "cv"), "v")
@@ -50,12 +88,13 @@ def modularity(graph: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     return m.inner / m.m - resolution * squares / (2 * m.m) ** 2
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, community: str, rounds: int = 8, levels: int = 3, least_gain: float = 1e-6) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, community: str, least_gain: float = 1e-6) -> DataFrame:
     """(node_id, community): weighted Louvain over a definition's projection (Blondel et al. 2008), communities named by their smallest member.
 
     Each round, the nodes of one hash class move at once to the neighbouring community of greatest gain (ties: smallest name); two
-    classes take turns, which keeps neighbours from swapping for ever. Rounds end when modularity gains less than ``least_gain``; then
-    communities are contracted and the next level begins. Everything is joins and aggregations; one number per round reaches the driver,
+    classes take turns, which keeps neighbours from swapping for ever. Rounds end when both turns together gain less than ``least_gain``
+    of modularity, which is at most 1, so they do end; then communities are contracted and the next level begins, until a level gains
+    less. Everything is joins and aggregations; one number per round reaches the driver,
     and the assignment is written to the shared checkpoint folder each round. Nodes without edges are communities of their own.
     """
     ids = nodes.filter(F.col("label").isin(COMMUNITIES[community][1])).select("node_id").distinct()
@@ -66,13 +105,14 @@ def louvain(nodes: DataFrame, edges: DataFrame, community: str, rounds: int = 8,
     if not total:
         return whole
     best = modularity(first, whole)
-    for _ in range(levels):
+    while True:
         both = graph.select(F.col("u").alias("a"), F.col("v").alias("b"), "w").union(graph.select("v", "u", "w"))
         own = both.select("a", "w") if loops is None else both.select("a", "w").union(loops.select("a", F.col("w") * 2))
         k = cut(own.groupBy("a").agg(F.sum("w").alias("k")))
         local = cut(k.select("a", F.col("a").alias("c")))
         score = best
-        for turn in range(rounds):
+        gained = {0: True, 1: True}
+        for turn in count():
             sums = local.join(k, "a").groupBy("c").agg(F.sum("k").alias("t"))
             near = both.join(local.toDF("b", "cb"), "b").groupBy("a", "cb").agg(F.sum("w").alias("kin"))
             mine = local.toDF("a", "ca").join(k, "a")
@@ -85,10 +125,11 @@ def louvain(nodes: DataFrame, edges: DataFrame, community: str, rounds: int = 8,
             tried = cut(local.join(to, "a", "left").select("a", F.coalesce("to", "c").alias("c")))
             joined = whole.join(tried.toDF("community", "c"), "community", "left").select("node_id", F.coalesce("c", "community").alias("community"))
             now = modularity(first, joined)
-            if now < score + least_gain and turn % 2:
-                break
+            gained[turn % 2] = now >= score + least_gain
             if now >= score:
                 score, local = now, tried
+            if not gained[0] and not gained[1]:
+                break
         if score < best + least_gain:
             break
         best = score

@@ -68,17 +68,17 @@ def number_blank_ids(samples: DataFrame, row_id: str = "row_id") -> DataFrame:
     """samples with blank ids as q001, q002, ... in row order, and duplicate (whether another row has the same id).
 
     Numbers follow from a two-level prefix sum: rows are ranged by row order, partitions counted, and each counts on from the ones
-    before, so no single task sees all blank rows.
+    before, so no single task sees all blank rows. Rows that share a row_id are numbered one by one.
     """
     from graphloom.session import cut
 
-    blank = samples.filter("id = ''").select(row_id)
+    blank = samples.filter("id = ''")
     placed = cut(blank.repartitionByRange(row_id).sortWithinPartitions(row_id).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()))
     parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # one row per partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    auto = placed.join(F.broadcast(offsets), "part").select(row_id, F.format_string("q%03d", F.col("before") + F.col("at") - F.col("first") + 1).alias("auto"))
-    numbered = samples.join(auto, row_id, "left").withColumn("id", F.coalesce("auto", "id")).drop("auto")
+    auto = placed.join(F.broadcast(offsets), "part").withColumn("id", F.format_string("q%03d", F.col("before") + F.col("at") - F.col("first") + 1))
+    numbered = samples.filter("id <> ''").unionByName(auto.select(*samples.columns))
     repeated = numbered.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", F.lit(True).alias("duplicate"))
     return numbered.join(repeated, "id", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 

@@ -62,6 +62,21 @@ def entity_coverage(gold: Column, names_by_node: Column) -> Column:
     return F.when(_none(gold), F.lit(1.0)).otherwise(F.round(hit / F.nullif(F.size(gold), F.lit(0)), 4))
 
 
+def entity_lists(gold: Column, names_by_node: Column) -> Column:
+    """struct(covered, missing, threshold_ok): gold entities that some retrieved name matches and the others; whether the unrounded share reaches its target."""
+    flat = F.filter(F.flatten(names_by_node), lambda n: F.coalesce(n, F.lit("")) != "")
+    found = lambda g: F.exists(flat, lambda n: same_name(g, n))
+    covered = F.filter(gold, found)
+    ok = F.when(_none(gold), F.lit(None).cast("boolean")).otherwise(F.size(covered) / F.nullif(F.size(gold), F.lit(0)) >= THRESHOLDS["entity_coverage"])
+    return F.struct(covered.alias("covered"), F.filter(gold, lambda g: ~found(g)).alias("missing"), ok.alias("threshold_ok"))
+
+
+def coverage_lists(samples: DataFrame, results: DataFrame) -> DataFrame:
+    """(row_id, covered, missing, threshold_ok) of each sample; one without a result covers nothing."""
+    j = samples.join(results.select("query_id", "retrieved_nodes"), F.col("id") == F.col("query_id"), "left")
+    return j.select("row_id", entity_lists(F.coalesce("gold_entities", F.expr(_ARR)), all_names(F.col("retrieved_nodes"))).alias("e")).select("row_id", "e.*")
+
+
 def path_relevance(path: Column, gold: Column) -> Column:
     """Share of the gold path's nodes on the traversed path; null without a gold path, 0 without a traversed one."""
     steps = F.coalesce(path, F.expr("cast(array() as array<struct<from_node:string,to_node:string,relation:string,hop:int>>)"))
@@ -136,13 +151,13 @@ def missing(metrics: DataFrame) -> DataFrame:
     return metrics.filter("missing").select("row_id", "id")
 
 
-def report(metrics: DataFrame, dataset: str, k: int, run_at: str) -> DataFrame:
-    """One nested row: config, aggregate, missing ids. Per-sample rows stay a table of their own: they may be many."""
+def report(metrics: DataFrame, dataset: str, k: int, run_at: str | None = None) -> DataFrame:
+    """One nested row: config, aggregate, missing ids. Per-sample rows stay a table of their own: they may be many. run_at is now, in ISO form, if not given."""
     r = rollup(metrics)
     row = F.struct("query_type", "sample_count", *METRICS)
     agg = r.agg(F.first(F.when(F.col("scope") == "overall", row), ignorenulls=True).alias("overall"), F.array_sort(F.collect_list(F.when(F.col("scope") == "by_type", row))).alias("by_query_type"))
     n = metrics.agg(F.count(F.when(F.col("missing"), 1)).alias("missing_results"))
-    config = F.struct(F.lit(dataset).alias("dataset"), F.lit(k).alias("k"), F.lit(run_at).alias("timestamp"))
+    config = F.struct(F.lit(dataset).alias("dataset"), F.lit(k).alias("k"), (F.lit(run_at) if run_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")).alias("timestamp"))
     return agg.join(n).select(config.alias("config"), F.struct("overall", "by_query_type").alias("aggregate"), "missing_results")  # two single rows
 
 

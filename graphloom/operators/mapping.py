@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import has, normal_name
-
-#: Letters of a gram by which containing names are found.
-GRAM = 3
+from graphloom.operators.containing import containing
 
 
 def major_index(majors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -23,28 +21,17 @@ def major_index(majors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return index, conflicts
 
 
-def _grams(c: str):
-    return F.when(F.length(c) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))).otherwise(F.array(F.col(c)))
-
-
 def partial_match(names: DataFrame, index: DataFrame) -> DataFrame:
     """(norm, code): names that contain, or are contained in, indexed names of exactly one distinct code.
 
-    A name that contains another has its leading gram among its own grams, so both directions are equi-joins on grams followed by the
-    test itself; names shorter than a gram are compared whole with all grams of their length. No row is left out.
+    Both directions are equi-joins on the rarest gram of the contained name, followed by the test itself; so an opening that all
+    names share is no hot key. No row is left out.
     """
     a = names.select("norm").filter("norm <> ''").distinct()
     b = index.select(F.col("norm").alias("other"), "code")
-    lead = lambda c: F.substring(F.col(c), 1, GRAM)
-    long_a, long_b = a.filter(F.length("norm") >= GRAM), b.filter(F.length("other") >= GRAM)
-    inside = long_a.withColumn("g", lead("norm")).join(long_b.withColumn("g", F.explode(_grams("other"))), "g").filter(F.contains("other", F.col("norm")))
-    around = long_a.withColumn("g", F.explode(_grams("norm"))).join(long_b.withColumn("g", lead("other")), "g").filter(F.contains("norm", F.col("other")))
+    inside = containing(b, "other", a, "norm", counted=True)
+    around = containing(a, "norm", b, "other", counted=True)
     hits = inside.select("norm", "code").union(around.select("norm", "code"))
-    for n in range(1, GRAM):  # names of one or two letters: grams of just that length
-        parts = lambda c, k=n: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, F.lit(k)))))
-        sa, sb = a.filter(F.length("norm") == n), b.filter(F.length("other") == n)
-        hits = hits.union(sa.withColumn("g", F.col("norm")).join(b.filter(F.length("other") >= n).withColumn("g", parts("other")), "g").select("norm", "code"))
-        hits = hits.union(a.filter(F.length("norm") > n).withColumn("g", parts("norm")).join(sb.withColumn("g", F.col("other")), "g").select("norm", "code"))
     return hits.groupBy("norm").agg(F.count_distinct("code").alias("n"), F.min("code").alias("code")).filter("n = 1").select("norm", "code")
 
 

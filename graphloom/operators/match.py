@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import contains_ci
 from graphloom.model import TEMPLATES
 from graphloom.operators.aggregate import first_of
+from graphloom.operators.containing import named
 
 #: Rows reported per keyword.
 PER_KEYWORD = 50
-#: Keywords come from questions; a table of them is broadcast up to this many rows, beyond that Spark plans the join.
-MOST_BROADCAST = 10_000
 
 
 def starts(nodes: DataFrame, keywords: DataFrame, label: str, by_code: bool) -> DataFrame:
     """(kw, kw_pos, node_id, name): nodes of a label whose name contains a keyword (any case; an empty one is in every name), or whose code is it."""
-    n = nodes.filter(F.col("label") == label)
-    hit = contains_ci("name", F.col("kw"))
-    if by_code:
-        hit = hit | (F.col("code") == F.col("kw"))
-    few = keywords.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return n.join(F.broadcast(keywords) if few else keywords, F.coalesce(hit, F.lit(False))).select("kw", "kw_pos", "node_id", "name")
+    return named(nodes.filter(F.col("label") == label), keywords, by_code).select("kw", "kw_pos", "node_id", "name")
 
 
 def match(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, start: str, asked: str, limit: int | None = PER_KEYWORD) -> DataFrame:

@@ -20,6 +20,11 @@ def code_status(nodes: DataFrame) -> DataFrame:
     return nodes.filter("label = 'MAJOR'").select("node_id", "name", "code", status.alias("status"))
 
 
+def usable_codes(majors: Column) -> Column:
+    """Of an array of (name, code) structs those whose code says something and isn't the name: what a client may show, valid or not."""
+    return F.filter(majors, lambda m: F.coalesce((m["code"] != "") & (m["code"] != F.coalesce(m["name"], F.lit(""))), F.lit(False)))
+
+
 def duplicate_names(nodes: DataFrame) -> DataFrame:
     """(name, n): major names borne by more than one node, case-sensitive."""
     return nodes.filter("label = 'MAJOR'").groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -80,6 +85,16 @@ def career_codes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.select("node_id", "name", F.coalesce("direct", "named", F.expr("cast(array() as array<string>)")).alias("codes"), (F.col("direct").isNull() & F.col("named").isNotNull()).alias("by_name"))
 
 
+def unresolved_majors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(career, major, code): of careers to which no major with a valid code leads, the majors that lead there and for whose name no valid code is known."""
+    majors = nodes.filter("label = 'MAJOR'").select(F.col("node_id").alias("src"), F.col("name").alias("major"), "code", F.lower("name").alias("k"))
+    links = edges.filter("rel_type = 'LEADS_TO'").select("src", F.col("dst").alias("node_id")).distinct().join(majors, "src")
+    direct = links.filter(_valid("code")).select("node_id").distinct()
+    known = majors.filter(_valid("code")).select("k").distinct()
+    lost = links.filter(~_valid("code")).join(direct, "node_id", "left_anti").join(known, "k", "left_anti")
+    return lost.join(nodes.filter("label = 'CAREER'").select("node_id", F.col("name").alias("career")), "node_id").select("career", "major", "code")
+
+
 def code_totals(careers: DataFrame) -> DataFrame:
     """One row: careers, codes in all, careers without one."""
     return careers.agg(F.count(F.lit(1)).alias("careers"), F.coalesce(F.sum(F.size("codes")), F.lit(0)).alias("codes"), F.coalesce(F.sum((F.size("codes") == 0).cast("int")), F.lit(0)).alias("empty"))

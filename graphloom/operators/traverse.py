@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import contains_ci
 from graphloom.operators.aggregate import first_of
-from graphloom.operators.match import MOST_BROADCAST
+from graphloom.operators.containing import named
 from graphloom.session import cut
 
 
@@ -21,12 +21,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def seeds(nodes: DataFrame, edges: DataFrame, keywords: DataFrame, k: int = 3) -> DataFrame:
     """(kw, kw_pos, rank, node_id, name, label, degree): per keyword the k best connected nodes whose name contains it or whose code it is."""
-    hit = F.coalesce(contains_ci("name", F.col("kw")) | (F.col("code").isNotNull() & (F.col("code") == F.col("kw"))), F.lit(False))
-    few = keywords.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    found = nodes.join(F.broadcast(keywords) if few else keywords, hit).join(degrees(edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    found = named(nodes, keywords).join(degrees(edges), "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     top = first_of(found, ["kw", "kw_pos"], [F.desc("degree"), "name", "node_id"], k)
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("kw", "kw_pos").orderBy(F.desc("degree"), "name", "node_id"))
     return top.select("kw", "kw_pos", rank.alias("rank"), "node_id", "name", "label", "degree")
 
@@ -91,17 +87,19 @@ def bridge(nodes: DataFrame, edges: DataFrame, names: DataFrame, cluster: str, a
     return nodes.limit(0).select(F.col("name").alias("start"), F.col("name").alias("via"), "name", "label", "code")
 
 
-def path_depth(edges: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
-    """(pair_id, depth): hops of the shortest undirected path for (pair_id, a, b); null if there is none within ``most`` hops or an end is unknown.
+def path_depth(edges: DataFrame, pairs: DataFrame, most: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(pair_id, depth): hops of the shortest undirected path for (pair_id, a, b); null if there is none or an end is unknown.
 
-    Breadth first from all sources at once, from each source's side only; a visited set per source (anti-join) keeps the frontier small.
+    ``nodes`` (node_id) makes nodes without edges known. With ``most``, only paths of so many hops count; without it the search ends
+    when every pair is settled or nothing new is reached. Breadth first from all sources at once, from each source's side only; a visited set per source (anti-join) keeps the frontier small.
     """
     both = cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).union(edges.select(F.col("dst").alias("at"), F.col("src").alias("next"))).distinct())  # read at every hop
-    known = both.select("at").distinct()
+    known = both.select("at") if nodes is None else both.select("at").union(nodes.select("node_id"))
+    known = known.distinct()
     live = pairs.join(known.withColumnRenamed("at", "a"), "a", "left_semi").join(known.withColumnRenamed("at", "b"), "b", "left_semi").select("pair_id", "a", "b")
     seen = cut(live.select(F.col("a").alias("source"), F.col("a").alias("at")).distinct().withColumn("depth", F.lit(0)))
     front, open_pairs, done = seen, live, []
-    for hop in range(most + 1):
+    for hop in count() if most is None else range(most + 1):
         hit = open_pairs.join(front.select(F.col("source").alias("a"), F.col("at").alias("b")), ["a", "b"], "left_semi").select("pair_id").withColumn("depth", F.lit(hop))
         hit = cut(hit)
         done.append(hit)

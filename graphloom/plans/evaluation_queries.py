@@ -85,6 +85,11 @@ me AS (SELECT row_id, id, query_type, missing, CASE WHEN ntop = 0 AND nrel = 0 T
   CASE WHEN len(expected_communities) = 0 THEN NULL ELSE round(len([1 for c in expected_communities if contains(lower(coalesce(answer, '')), lower(replace(c, '_', ' ')))]) / len(expected_communities), 4) END AS comprehensiveness FROM fl)"""
 for _name, _cols in (("eval_prf", ["precision", "recall", "f1"]), ("eval_mrr", ["mrr"]), ("eval_coverage", ["entity_coverage"]), ("eval_path_relevance", ["path_relevance"]), ("eval_comprehensiveness", ["comprehensiveness"])):
     _add(_name, lambda s, d, c=_cols: _metrics(s, d).select("row_id", *c), f"WITH {_EV} SELECT row_id, {', '.join(_cols)} FROM me")
+_add(
+    "eval_coverage_lists", lambda s, d: evaluate.coverage_lists(dataset.number_blank_ids(_samples(s, d)), evaluate.latest_results(table(s, d, "results"))).select("row_id", joined("covered").alias("covered"), joined("missing").alias("missing"), F.col("threshold_ok").cast("int").alias("threshold_ok")),
+    f"""WITH {_EV}, cl AS (SELECT row_id, gold_entities, [g for g in gold_entities if len([1 for x in flat if {_same('g', 'x')}]) > 0] AS covered, [g for g in gold_entities if len([1 for x in flat if {_same('g', 'x')}]) = 0] AS missing FROM fl)
+SELECT row_id, array_to_string(covered, '|') AS covered, array_to_string(missing, '|') AS missing, CASE WHEN len(gold_entities) > 0 THEN (len(covered) / len(gold_entities) >= 0.8)::INT END AS threshold_ok FROM cl""",
+)
 _add("eval_missing", lambda s, d: evaluate.missing(_metrics(s, d)), f"WITH {_EV} SELECT row_id, id FROM me WHERE missing")
 _RO = f"""{_EV}, ro AS (SELECT CASE WHEN grouping(query_type) = 1 THEN 'overall' ELSE 'by_type' END AS scope, query_type, count(*) AS sample_count, {', '.join(f'round(avg({m}), 4) AS {m}' for m in THRESHOLDS)} FROM me GROUP BY ROLLUP (query_type))"""
 _add("eval_rollup", lambda s, d: evaluate.rollup(_metrics(s, d)), f"WITH {_RO} SELECT * FROM ro")
@@ -102,13 +107,13 @@ def _depth(s: SparkSession, d: str) -> DataFrame:
     a = nodes.filter("label = 'MAJOR'").select(F.col("node_id").alias("a"), F.lit(1).alias("one"))
     b = nodes.filter("label = 'SKILL'").select(F.col("node_id").alias("b"), F.lit(1).alias("one"))
     pairs = a.join(b, "one").select(F.concat_ws(">", "a", "b").alias("pair_id"), "a", "b")
-    return traverse.path_depth(edges, pairs, 6)
+    return traverse.path_depth(edges, pairs, nodes=nodes)
 
 
 _add(
     "eval_path_depth", _depth,
     f"""WITH RECURSIVE {fixture_graph.SQL}, bw AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
-walk AS (SELECT node_id AS s, node_id AS v, 0 AS d FROM nodes WHERE label = 'MAJOR' AND node_id IN (SELECT a FROM bw) UNION SELECT s, b, d + 1 FROM walk JOIN bw ON v = a WHERE d < 6),
+walk AS (SELECT node_id AS s, node_id AS v, 0 AS d FROM nodes WHERE label = 'MAJOR' UNION SELECT s, b, d + 1 FROM walk JOIN bw ON v = a WHERE d < 12),
 dist AS (SELECT s, v, min(d) AS depth FROM walk GROUP BY s, v)
 SELECT m.node_id || '>' || k.node_id AS pair_id, depth FROM nodes m JOIN nodes k ON m.label = 'MAJOR' AND k.label = 'SKILL' LEFT JOIN dist ON s = m.node_id AND v = k.node_id""",
 )
@@ -167,6 +172,10 @@ _G = lambda s, d: fixture_graph.nodes(s, d)
 _add("community_l1", lambda s, d: community.level_one(_G(s, d)), f"WITH {fixture_graph.SQL} SELECT node_id, 0 AS community FROM nodes")
 _add("community_rule_l2", lambda s, d: community.by_rule(_G(s, d), 2), f"WITH {fixture_graph.SQL} SELECT node_id, CASE label WHEN 'TEACHER' THEN 0 WHEN 'MAJOR' THEN 2 WHEN 'SKILL' THEN 0 WHEN 'CAREER' THEN 1 WHEN 'SUBJECT' THEN 2 END AS community FROM nodes")
 _add("community_rule_l3", lambda s, d: community.by_rule(_G(s, d), 3), f"WITH {fixture_graph.SQL} SELECT node_id, CASE label WHEN 'TEACHER' THEN 1 WHEN 'SKILL' THEN 2 WHEN 'SUBJECT' THEN 0 WHEN 'CAREER' THEN 1 END AS community FROM nodes")
+_L3 = lambda s, d, **kw: community.scope(_G(s, d), fixture_graph.edges(s, d), **kw).select("node_id", "label")
+_add("scope_major", lambda s, d: _L3(s, d, community="L3_MAJOR_CENTRIC", major_code="7480007"), f"WITH {fixture_graph.SQL} SELECT node_id, label FROM nodes n WHERE label IN ('SUBJECT', 'TEACHER', 'SKILL') AND EXISTS (FROM edges e JOIN nodes m ON e.src = m.node_id WHERE e.dst = n.node_id AND e.rel_type = 'OFFERS' AND m.label = 'MAJOR' AND m.code = '7480007')")
+_add("scope_skill", lambda s, d: _L3(s, d, community="L3_SKILL_CENTRIC", skill_name="Brand#11"), f"WITH {fixture_graph.SQL} SELECT node_id, label FROM nodes n WHERE label IN ('SUBJECT', 'CAREER') AND EXISTS (FROM edges e JOIN nodes k ON e.dst = k.node_id WHERE e.src = n.node_id AND e.rel_type IN ('PROVIDES', 'REQUIRES') AND k.label = 'SKILL' AND k.name = 'Brand#11')")
+_add("community_build", lambda s, d: community.build(_G(s, d), fixture_graph.edges(s, d), detect=False).select("node_id", "community_L1", "community_L2", "community_L3"), f"WITH {fixture_graph.SQL} SELECT node_id, '0' AS community_L1, CASE label WHEN 'TEACHER' THEN '0' WHEN 'MAJOR' THEN '2' WHEN 'SKILL' THEN '0' WHEN 'CAREER' THEN '1' WHEN 'SUBJECT' THEN '2' END AS community_L2, CASE label WHEN 'TEACHER' THEN '1' WHEN 'SKILL' THEN '2' WHEN 'SUBJECT' THEN '0' WHEN 'CAREER' THEN '1' END AS community_L3 FROM nodes")
 _add("community_written", lambda s, d: community.written(community.by_rule(_G(s, d), 3)), f"WITH {fixture_graph.SQL} SELECT count(*) AS nodes_written FROM nodes WHERE label <> 'MAJOR'")
 _add("louvain_l2", lambda s, d: community.louvain(_G(s, d), fixture_graph.edges(s, d), "L2_CAREER_ALIGNMENT"))
 _PR = ", ".join(

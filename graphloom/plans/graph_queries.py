@@ -47,6 +47,16 @@ _OFF = "(SELECT DISTINCT src, dst FROM edges WHERE rel_type = 'OFFERS')"
 _add("agg_subject_in_all_majors", lambda s, d: aggregate.subjects_in_all_majors(*_graph(s, d)), _sql(f"SELECT n.name, n.code, count(*) AS n FROM {_OFF} e JOIN nodes n ON e.dst = n.node_id GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM nodes WHERE label = 'MAJOR')"))
 _add("agg_subject_in_80pct", lambda s, d: aggregate.subjects_in_all_majors(*_graph(s, d), share=0.8, k=30), _sql(f"SELECT name, code, n FROM (SELECT n.name, n.code, n.node_id, count(*) AS n FROM {_OFF} e JOIN nodes n ON e.dst = n.node_id GROUP BY ALL) WHERE n >= trunc((SELECT count(*) FROM nodes WHERE label = 'MAJOR') * 0.8) ORDER BY n DESC, name, node_id LIMIT 30"))
 _add("agg_subject_all_or_most", lambda s, d: aggregate.subjects_all_or_most(*_graph(s, d)), S["agg_subject_in_all_majors"])
+_WITHOUT = "(SELECT DISTINCT src, dst FROM edges WHERE rel_type = 'OFFERS' AND dst NOT IN ('SUBJECT:P000000', 'SUBJECT:P000001', 'SUBJECT:P000002'))"
+
+
+def _no_core(s: SparkSession, d: str) -> DataFrame:
+    """Without the subjects that all majors share, so that most have to do."""
+    nodes, edges = _graph(s, d)
+    return aggregate.subjects_all_or_most(nodes, edges.filter(~F.col("dst").isin("SUBJECT:P000000", "SUBJECT:P000001", "SUBJECT:P000002")))
+
+
+_add("agg_subject_most_only", _no_core, _sql(f"SELECT name, code, n FROM (SELECT n.name, n.code, n.node_id, count(*) AS n FROM {_WITHOUT} e JOIN nodes n ON e.dst = n.node_id GROUP BY ALL) WHERE n >= trunc((SELECT count(*) FROM nodes WHERE label = 'MAJOR') * 0.8) ORDER BY n DESC, name, node_id LIMIT 30"))
 _add("agg_subject_shared_two", lambda s, d: aggregate.subjects_shared(*_graph(s, d)), _sql(f"SELECT name, code, majors, n FROM (SELECT n.name, n.code, n.node_id, count(*) AS n, string_agg(lower(m.name), '|' ORDER BY lower(m.name)) AS majors FROM {_OFF} e JOIN nodes n ON e.dst = n.node_id JOIN nodes m ON e.src = m.node_id GROUP BY n.name, n.code, n.node_id) WHERE n >= 2 ORDER BY n DESC, name, node_id LIMIT 50"))
 for _name, _rel, _label, _side, _k in (("agg_major_most_subjects", "OFFERS", "MAJOR", "src", 10), ("agg_career_most_skills", "REQUIRES", "CAREER", "src", 10), ("agg_subject_most_majors", "OFFERS", "SUBJECT", "dst", 15), ("agg_skill_most_subjects", "PROVIDES", "SKILL", "dst", 15)):
     _other = "dst" if _side == "src" else "src"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import joined
+from graphloom.functions.text import joined, slug
 from graphloom.model import NODES_BY_DOCTYPE, REL_TYPES
 from graphloom.operators import ingest, load, mapping, repair, upsert
 from graphloom.sources import domain, fixture_graph
@@ -60,8 +60,9 @@ def _all_docs(s: SparkSession, d: str) -> DataFrame:
 _ST = f"st AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM dn WHERE {_OK} AND key <> '' AND name <> '') THEN 'ok' ELSE 'error' END AS status FROM (SELECT doc_id FROM dn UNION SELECT doc_id FROM relationships))"
 _add("doc_status", lambda s, d: ingest.status(_all_docs(s, d), domain.doc_nodes(s, d)), f"WITH {_D}, {_ST} SELECT doc_id, status FROM st")
 _add(
-    "doc_status_counts", lambda s, d: ingest.status_counts(ingest.status(_all_docs(s, d), domain.doc_nodes(s, d))),
-    f"WITH {_D}, {_ST} SELECT coalesce(t, 'total') AS doctype, count(*) FILTER (status = 'ok') AS ok, 0 AS skip, count(*) FILTER (status = 'error') AS error FROM (SELECT *, coalesce({domain._T}, 'other') AS t FROM st) GROUP BY ROLLUP (t)",
+    # documents with teachers are taken to have been done before
+    "doc_status_counts", lambda s, d: ingest.status_counts(ingest.status(_all_docs(s, d), domain.doc_nodes(s, d), domain.table(s, d, "teacher").select("doc_id"))),
+    f"WITH {_D}, {_ST}, sk AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM teacher) THEN 'skip' ELSE status END AS status FROM st) SELECT coalesce(t, 'total') AS doctype, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'skip') AS skip, count(*) FILTER (status = 'error') AS error FROM (SELECT *, coalesce({domain._T}, 'other') AS t FROM sk) GROUP BY ROLLUP (t)",
 )
 _add(
     "detect_schema", lambda s, d: ingest.detect_schema(domain.doc_nodes(s, d), domain.doc_rels(s, d)),
@@ -125,6 +126,9 @@ def _summary(s: SparkSession, d: str) -> DataFrame:
 
 _add("map_codes_summary", _summary, f"WITH {_MAP} SELECT (SELECT count(DISTINCT owner) FROM l) AS files, (SELECT count(*) FROM fi) AS mapped, (SELECT count(*) FROM f LEFT JOIN fi ON f.owner = fi.owner AND f.code = fi.code WHERE f.code IS NULL OR (f.partial IS NOT NULL AND fi.first < f.pos_)) AS unmatched")
 
+# --- keys of names
+_add("slug_names", lambda s, d: domain.table(s, d, "teacher").select("record_id", slug("name").alias("slug")), rf"""SELECT record_id, regexp_replace(regexp_replace(regexp_replace(strip_accents(replace(regexp_replace(regexp_replace(lower(name), '^{_WS}+|{_WS}+$', '', 'g'), '^((pgs|gs|ths|ts)\.?\s+|(pgs|gs|ths|ts)\.\s*)+', ''), 'đ', 'd')), '\p{{M}}+', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM teacher""")
+
 # --- upserts
 _RANK = "CASE WHEN starts_with(doc_id, 'CUR-') THEN 0 WHEN starts_with(doc_id, 'CAR-') THEN 1 WHEN starts_with(doc_id, 'SYL-') THEN 2 ELSE 3 END"
 
@@ -230,6 +234,37 @@ _add("repair_nodes_kept", lambda s, d: repair.merge_majors(*planted(s, d))[0].se
 _add("repair_edges_moved", lambda s, d: repair.merge_majors(*planted(s, d))[1], _p("SELECT DISTINCT coalesce(a.good, src) AS src, coalesce(b.good, dst) AS dst, rel_type, semester, required_type, required_level FROM pe LEFT JOIN pairs a ON src = a.bad LEFT JOIN pairs b ON dst = b.bad"))
 _add("repair_verify", lambda s, d: repair.verify_counts(*planted(s, d)), _p("SELECT name, code, (SELECT count(DISTINCT dst) FROM pe WHERE src = node_id AND rel_type = 'LEADS_TO') AS careers, (SELECT count(DISTINCT dst) FROM pe WHERE src = node_id AND rel_type = 'OFFERS') AS subjects FROM pn WHERE label = 'MAJOR'"))
 _add("rel_direction", lambda s, d: repair.career_direction(*planted(s, d)), _p("SELECT 'MAJOR_TO_CAREER' AS direction, 'LEADS_TO' AS rel_type, count(*) AS n FROM pe WHERE rel_type = 'LEADS_TO'"))
+
+
+def _backwards(s: SparkSession, d: str) -> DataFrame:
+    """The same where careers point at majors, by two types."""
+    nodes, edges = planted(s, d)
+    back = F.when(F.length("dst") % 2 == 0, "COMES_FROM").otherwise("TAUGHT_IN")
+    return repair.career_direction(nodes, edges.filter("rel_type = 'LEADS_TO'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), back.alias("rel_type")))
+
+
+_add("rel_direction_back", _backwards, _p("SELECT 'CAREER_TO_MAJOR' AS direction, CASE WHEN length(dst) % 2 = 0 THEN 'COMES_FROM' ELSE 'TAUGHT_IN' END AS rel_type, count(*) AS n FROM pe WHERE rel_type = 'LEADS_TO' GROUP BY ALL ORDER BY n DESC, rel_type LIMIT 1"))
+
+
+def _usable(s: SparkSession, d: str) -> DataFrame:
+    """Per career the codes of its majors that say something and aren't their names."""
+    nodes, edges = planted(s, d)
+    m = nodes.filter("label = 'MAJOR'").select(F.col("node_id").alias("src"), "name", "code")
+    by = edges.filter("rel_type = 'LEADS_TO'").select("src", "dst").distinct().join(m, "src").groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("name", "code"))).alias("m"))
+    return by.select(F.col("dst").alias("career"), F.array_join(F.transform(repair.usable_codes(F.col("m")), lambda x: x["code"]), "|").alias("codes"))
+
+
+_add("career_usable_codes", _usable, _p("SELECT dst AS career, coalesce(string_agg(code, '|' ORDER BY name, code) FILTER (code <> '' AND code <> coalesce(name, '')), '') AS codes FROM (SELECT DISTINCT src, dst FROM pe WHERE rel_type = 'LEADS_TO') JOIN pn ON src = node_id WHERE label = 'MAJOR' GROUP BY dst"))
+
+
+def _unresolved(s: SparkSession, d: str) -> DataFrame:
+    """Also with a career that only a major of unknown code and name leads to."""
+    nodes, edges = planted(s, d)
+    return repair.unresolved_majors(nodes, edges.unionByName(s.createDataFrame([("x1", "MAJOR:X1", "CAREER:lonely", "LEADS_TO", None, None, None)], edges.schema)))
+
+
+_add("career_unresolved", _unresolved, _p("").rstrip() + """, l2 AS (SELECT src, dst FROM pe WHERE rel_type = 'LEADS_TO' UNION SELECT 'MAJOR:X1', 'CAREER:lonely'), j AS (SELECT dst, m.name, m.code, coalesce(regexp_full_match(m.code, '[0-9]+'), false) AS ok FROM l2 JOIN pn m ON src = m.node_id AND m.label = 'MAJOR')
+SELECT c.name AS career, j.name AS major, j.code FROM j JOIN pn c ON j.dst = c.node_id AND c.label = 'CAREER' WHERE NOT ok AND dst NOT IN (SELECT dst FROM j WHERE ok) AND lower(j.name) NOT IN (SELECT lower(name) FROM pn WHERE label = 'MAJOR' AND regexp_full_match(code, '[0-9]+'))""")
 _CC = """li AS (SELECT DISTINCT e.dst AS node_id, m.code, lower(m.name) AS k FROM pe e JOIN pn m ON e.src = m.node_id AND m.label = 'MAJOR' WHERE e.rel_type = 'LEADS_TO'),
 di AS (SELECT node_id, string_agg(DISTINCT code, '|' ORDER BY code) AS codes FROM li WHERE regexp_full_match(code, '[0-9]+') GROUP BY node_id),
 na AS (SELECT li.node_id, string_agg(DISTINCT g.code, '|' ORDER BY g.code) AS codes FROM li JOIN pn g ON g.label = 'MAJOR' AND lower(g.name) = li.k AND regexp_full_match(g.code, '[0-9]+') WHERE NOT coalesce(regexp_full_match(li.code, '[0-9]+'), false) GROUP BY li.node_id),

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # what no DataFrame refers to any more is deleted
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

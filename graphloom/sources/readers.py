@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.model import KG_DOCUMENT, PLAIN_GRAPH, RESULT
-from graphloom.operators.dataset import clean_name
+from graphloom.operators.dataset import clean_name, is_example
 from graphloom.operators.ingest import doc_id
 from graphloom.operators.reject_rows import COLUMNS, load_rows, reject_rows
 
@@ -45,9 +45,12 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of ground-truth CSV files: twelve columns as strings, and (raw_id, reason) of records that don't conform."""
-    raw = csv_records(spark, path)
-    keyed = raw.withColumn("key", F.xxhash64("file_name", "raw_id"))
+    """(rows, rejects) of ground-truth CSV files: twelve columns as strings, and (raw_id, reason) of records that don't conform.
+
+    The record right below the header is passed over if its id is an example's.
+    """
+    raw = csv_records(spark, path).withColumn("id", F.regexp_extract("raw_text", r'\A\s*"?([^,"]*)', 1))
+    keyed = raw.filter(~is_example(F.col("raw_id"))).drop("id").withColumn("key", F.xxhash64("file_name", "raw_id"))
     return load_rows(keyed, "key").withColumnRenamed("raw_id", "row_id"), reject_rows(keyed, "key")
 
 
@@ -80,11 +83,18 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     return df.groupBy("query_id").agg(F.max_by(F.struct(*cols), "file_name").alias("r")).select("query_id", "r.*")
 
 
-def plain_graph(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst, rel_type) of a graph file; edges may say source or from, target or to, relation or type."""
-    df = spark.read.schema(PLAIN_GRAPH).option("multiLine", True).json(path).select(F.explode("edges").alias("e"))
+def plain_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """((node_id), (src, dst, rel_type)) of a graph file; a node is its id or an object with one, edges may say source or from, target or to, relation or type.
+
+    Ends of edges are nodes, too, whether listed or not.
+    """
+    df = spark.read.schema(PLAIN_GRAPH).option("multiLine", True).json(path)
+    e = df.select(F.explode("edges").alias("e"))
     get = lambda *ks: F.coalesce(*[F.col("e")[k] for k in ks])
-    return df.select(get("source", "from").alias("src"), get("target", "to").alias("dst"), get("relation", "type").alias("rel_type")).filter("src is not null and dst is not null")
+    edges = e.select(get("source", "from").alias("src"), get("target", "to").alias("dst"), get("relation", "type").alias("rel_type")).filter("src is not null and dst is not null")
+    listed = df.select(F.explode("nodes").alias("n")).select(F.when(F.col("n").startswith("{"), F.coalesce(F.get_json_object("n", "$.id"), F.lit(""))).otherwise(F.col("n")).alias("node_id"))
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id"))
+    return listed.union(ends).filter("node_id is not null").distinct(), edges
 
 
 __all__ = ["COLUMNS", "csv_records", "ground_truth", "json_documents", "pending", "plain_graph", "results", "samples"]
