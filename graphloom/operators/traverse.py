@@ -36,29 +36,65 @@ def trails(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int =
     """(seed, name, label, code, node_id, rel_types, node_names, hops): distinct trails from every node with a seed's name.
 
     ``start`` has (name). Edges are walked both ways and never twice in one trail; nodes may repeat. Only the last node has to have
-    one of ``labels``; the way there is free. With a limit, each seed keeps its first rows by hops, then path; a seed whose complete
-    hops already fill the limit is not followed further, so the frontier holds only seeds that still need rows. The frontier is
-    written to the shared checkpoint folder at each hop.
+    one of ``labels``; the way there is free. With a limit, each seed keeps its first rows by hops, then path, and a hub costs no more
+    than it can give: each node's kinds of neighbours (name, type, label, code) are ranked once, and the last step of a seed joins only
+    the first of them. A step is a seed's last one if it is the last of all, or if it is sure to fill the limit; only the other seeds,
+    which have fewer rows than the limit by then, are followed with their whole frontier, which is written to the shared checkpoint
+    folder at each hop.
     """
-    both = edges.select("edge_id", "rel_type", F.col("src").alias("at"), F.col("dst").alias("next")).union(edges.select("edge_id", "rel_type", F.col("dst").alias("at"), F.col("src").alias("next")))
-    both = cut(both.filter("at <> next").union(edges.filter("src = dst").select("edge_id", "rel_type", F.col("src").alias("at"), F.col("dst").alias("next"))))  # read at every hop
     names = nodes.select(F.col("node_id").alias("next"), F.col("name").alias("n_name"), F.col("label").alias("n_label"), F.col("code").alias("n_code"))
+    way = lambda a, b: edges.select("edge_id", "rel_type", F.col(a).alias("at"), F.col(b).alias("next"))
+    both = way("src", "dst").union(way("dst", "src").filter("at <> next"))
+    both = cut(both.join(names, "next"))  # read at every hop
+    ends = both.filter(F.col("n_label").isin(labels)) if labels else both
+    code = F.coalesce("n_code", F.lit(""))
     front = start.select(F.col("name").alias("seed")).distinct().join(nodes.select(F.col("name").alias("seed"), F.col("node_id").alias("at")), "seed")
     front = front.select("seed", "at", F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("rel_types"), F.array("seed").alias("node_names"))
+    front = cut(front)  # read several times at every hop
     found: list[DataFrame] = []
+
+    def rows_of(step: DataFrame, hop: int, node_id: str) -> DataFrame:
+        row = step.select("seed", F.col("n_name").alias("name"), F.col("n_label").alias("label"), F.col("n_code").alias("code"), F.col(node_id).alias("node_id"), F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("node_names", F.array("n_name")).alias("node_names"), F.lit(hop).alias("hops"))
+        return row.groupBy("seed", "name", "label", "code", "rel_types", "node_names", "hops").agg(F.min("node_id").alias("node_id")).select(*row.columns)
+
+    def nearest(front: DataFrame, hop: int) -> DataFrame:
+        """The first kinds of neighbours of the nodes that the frontier has reached, with some edges of each."""
+        kind = ["at", "n_name", "rel_type", "n_label", "n_code"]
+        own = ends.join(front.select("at").distinct(), "at", "left_semi")
+        # a trail has walked fewer edges than hops, so of so many of a kind one is left, and so many kinds more are enough
+        few = first_of(own, kind, ["edge_id"], hop).groupBy(*kind).agg(F.collect_list("edge_id").alias("edges"), F.min("next").alias("node_id"))
+        return cut(first_of(few, ["at"], ["n_name", "rel_type", "n_label", code], limit + hop))
+
+    def last_step(front: DataFrame, near: DataFrame, kinds: DataFrame, hop: int) -> DataFrame:
+        """The rows of a last hop, as far as they can be among the first ``limit``."""
+        prefix = F.concat(F.array_join("node_names", "|"), F.lit("|"))
+        f = front.join(kinds, "at").withColumn("prefix", prefix).withColumn("plain", F.size(F.split("prefix", r"\|")) == F.size("node_names") + 1)
+        # prefixes that surely go on, in the order of paths: beyond the first ``limit`` of them nothing can be among the first rows
+        sure = f.filter(F.col("plain") & (F.col("kinds") >= hop)).select("seed", "prefix").distinct()
+        stop = first_of(sure, ["seed"], ["prefix"], limit).groupBy("seed").agg(F.count(F.lit(1)).alias("n"), F.max("prefix").alias("stop")).filter(F.col("n") == limit).select("seed", "stop")
+        f = f.join(stop, "seed", "left").filter(F.col("stop").isNull() | ~F.col("plain") | (F.col("prefix") <= F.col("stop")))
+        return rows_of(f.join(near, "at").filter(F.exists("edges", lambda e: ~F.array_contains("used", e))), hop, "node_id")
+
     for hop in range(1, max_hops + 1):
-        step = front.join(both, "at").filter(~F.array_contains("used", F.col("edge_id"))).join(names, "next")
-        step = cut(
-            step.select(
-                "seed", F.col("next").alias("at"), F.concat("used", F.array("edge_id")).alias("used"), F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("node_names", F.array("n_name")).alias("node_names"),
-                F.col("n_name").alias("name"), F.col("n_label").alias("label"), F.col("n_code").alias("code"),
-            )
-        )
-        rows = step.filter(F.col("label").isin(labels)) if labels else step
-        rows = rows.select("seed", "name", "label", "code", F.col("at").alias("node_id"), "rel_types", "node_names", F.lit(hop).alias("hops"))
-        found.append(rows.dropDuplicates(["seed", "name", "label", "code", "rel_types", "node_names", "hops"]))
-        front = step.select("seed", "at", "used", "rel_types", "node_names")
-        if limit and hop < max_hops:
+        if limit:
+            near = nearest(front, hop)
+            kinds = near.groupBy("at").agg(F.count(F.lit(1)).alias("kinds"))
+            if hop == max_hops:
+                found.append(last_step(front, near, kinds, hop))
+                break
+            each = front.join(kinds, "at").groupBy("seed", "node_names", "rel_types").agg(F.max(F.col("kinds") - (hop - 1)).alias("n")).filter("n > 0")
+            given = [each.select("seed", "n"), *(x.select("seed", F.lit(1).alias("n")) for x in found)]
+            filled = reduce(DataFrame.unionByName, given).groupBy("seed").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).select("seed", F.lit(True).alias("filled"))
+            front = cut(front.join(filled, "seed", "left"))
+            found.append(last_step(front.filter("filled"), near, kinds, hop))
+            front = front.filter("filled is null").drop("filled")
+            if front.isEmpty():
+                break
+        step = front.join(both, "at").filter(~F.array_contains("used", F.col("edge_id")))
+        step = cut(step.select("seed", "next", F.concat("used", F.array("edge_id")).alias("used"), "rel_types", "node_names", "rel_type", "n_name", "n_label", "n_code"))
+        found.append(rows_of(step.filter(F.col("n_label").isin(labels)) if labels else step, hop, "next"))
+        front = step.select("seed", F.col("next").alias("at"), "used", F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("node_names", F.array("n_name")).alias("node_names"))
+        if limit:
             full = reduce(DataFrame.unionByName, found).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
             front = front.join(full.select("seed"), "seed", "left_anti")
     every = reduce(DataFrame.unionByName, found)

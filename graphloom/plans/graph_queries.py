@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import joined
 from graphloom.model import TEMPLATES
 from graphloom.operators import aggregate, context, match, traverse
+from graphloom.session import cut
 from graphloom.sources import fixture_graph as G
 
 # Keywords that occur in the fixture's names, by start label; '' is in every name.
@@ -131,7 +132,7 @@ trail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY
 
 
 def _trails(s: SparkSession, d: str, labels: list[str] | None = None, hops: int = 3) -> DataFrame:
-    nodes, edges = _graph(s, d)
+    nodes, edges = map(cut, _graph(s, d))  # read for the seeds and for the trails
     first = traverse.distinct_seeds(traverse.seeds(nodes, edges, _kw(s, SEED_KEYWORDS)))
     return traverse.trails(nodes, edges, first, hops, labels)
 

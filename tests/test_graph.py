@@ -2,7 +2,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined
-from graphloom.operators import aggregate, community, context, match, repair, route, traverse, upsert
+from graphloom.operators import aggregate, community, context, match, providers, repair, route, traverse, upsert
 from graphloom.sources import fixture_graph
 
 
@@ -79,7 +79,7 @@ def test_records_number_nodes_and_keep_nulls(spark):
     r = {x.query_id: x for x in context.records(q, n, p).collect()}
     assert [x.node_id for x in r["q1"].retrieved_nodes] == ["node001", "node002"] and len(r["q1"].traversal_path) == 20
     assert '"code":null' in r["q1"].retrieved_nodes[1].content and r["q2"].retrieved_nodes == []
-    said = context.answer(context.prompt(context.records(q, n, p)), lambda a, b: a + str(len(b) > 10))
+    said = providers.answer(context.prompt(context.records(q, n, p)), lambda a, b: a + str(len(b) > 10))
     assert {x.generated_answer for x in said.collect()} == {"?True"}
 
 
@@ -170,3 +170,70 @@ def test_ask_questions_walks_three_hops(spark, data):
     q = spark.createDataFrame(asked, "query_id string, query string")
     two, three = ({r.query_id: len(r.retrieved_nodes) for r in ask(n, e, q, max_hops=h).collect()} for h in (2, 3))
     assert two != three and {k: got[k] for k in three} == three
+
+
+def test_the_context_has_sixty_steps_the_rule_negation_and_community_and_the_record_twenty(spark):
+    q = spark.createDataFrame([("q1", "?", None, "say why", ["x", "y"], "L2_ACADEMIC"), ("q2", "?", None, None, [], None)], "query_id string, query string, generated_answer string, answer_rule string, negated array<string>, community string")
+    n = spark.createDataFrame([("q1", 1, "a", "MAJOR", "7", 0)], "query_id string, position int, name string, label string, code string, hops int")
+    p = spark.createDataFrame([("q1", i, f"n{i:02}", "b", "R", 1) for i in range(70)], "query_id string, seq int, `from` string, `to` string, relation string, hop int")
+    r = {x.query_id: x for x in context.prompt(context.records(q, n, p)).collect()}
+    assert len(r["q1"].traversal_path) == 20 and r["q1"].context.count('"hop":1') == 60 and '"n59"' in r["q1"].context and '"n60"' not in r["q1"].context
+    assert "say why" in r["q1"].context and "x; y" in r["q1"].context and "level 2: MAJOR, SUBJECT, TEACHER" in r["q1"].context and "no data" not in r["q1"].context
+    assert "no data" in r["q2"].context and "level 1" in r["q2"].context and "rejects" not in r["q2"].context
+
+
+def brute_trails(nodes, edges, seeds, hops, labels, limit):
+    name = {i: (n, label, code) for i, label, n, code in nodes}
+    out = {}
+    for s in seeds:
+        front = [(i, (), (), (s,)) for i, v in name.items() if v[0] == s]
+        seen = set()
+        for h in range(1, hops + 1):
+            step = []
+            for at, used, kinds, path in front:
+                for e, a, b, t in edges:
+                    for x, y in {(a, b), (b, a)}:
+                        if x == at and e not in used:
+                            step.append((y, (*used, e), (*kinds, t), (*path, name[y][0])))
+            seen |= {(h, "|".join(p), "|".join(k), *name[y][:2], name[y][2] or "") for y, _, k, p in step if not labels or name[y][1] in labels}
+            front = step
+        out[s] = sorted(seen)[:limit]
+    return out
+
+
+def test_limited_trails_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    for round_ in range(4):
+        n = [("SKILL" if i % 3 else "MAJOR", f"n{i}" if i % 5 else "same", str(i) if i % 3 == 0 else None) for i in range(14)]
+        ids = [f"i{i}" for i in range(14)]
+        nodes = [(i, *x) for i, x in zip(ids, n)]
+        edges = [(f"e{k}", ids[0] if k % 3 == 0 else rng.choice(ids), rng.choice(ids), rng.choice("RS")) for k in range(34)]
+        nd = spark.createDataFrame(nodes, "node_id string, label string, name string, code string")
+        ed = spark.createDataFrame(edges, "edge_id string, src string, dst string, rel_type string")
+        seeds = ["same", "n1", "n7"]
+        start = spark.createDataFrame([(x,) for x in seeds], "name string")
+        for labels, limit in ((None, 7), (["MAJOR"], 7), (["MAJOR"], 300)):
+            got = {}
+            for r in traverse.trails(nd, ed, start, 3, labels, limit).collect():
+                got.setdefault(r.seed, []).append((r.hops, "|".join(r.node_names), "|".join(r.rel_types), r.name, r.label, r.code or ""))
+            assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in brute_trails(nodes, edges, seeds, 3, labels, limit).items() if v}
+
+
+def test_path_depth_is_searched_to_the_end(spark):
+    n, e = graph(spark, [("SKILL", f"k{i}", None) for i in range(30)], [(f"SKILL:k{i}", f"SKILL:k{i + 1}", "R") for i in range(26)])
+    pairs = spark.createDataFrame([("far", "SKILL:k0", "SKILL:k26"), ("none", "SKILL:k0", "SKILL:k28"), ("self", "SKILL:k29", "SKILL:k29"), ("gone", "x", "SKILL:k0")], "pair_id string, a string, b string")
+    assert {r.pair_id: r.depth for r in traverse.path_depth(e, pairs, nodes=n).collect()} == {"far": 26, "none": None, "self": 0, "gone": None}
+    assert {r.pair_id: r.depth for r in traverse.path_depth(e, pairs, most=20).collect()} == {"far": None, "none": None, "self": None, "gone": None}
+
+
+def test_communities_are_built_once(spark):
+    n, e = graph(spark, [("MAJOR", "m", "7"), ("SUBJECT", "s", "s"), ("SKILL", "k", None), ("TEACHER", "t", None), ("CAREER", "c", None)], [("MAJOR:m", "SUBJECT:s", "OFFERS"), ("SUBJECT:s", "SKILL:k", "PROVIDES"), ("TEACHER:t", "SUBJECT:s", "TEACH"), ("CAREER:c", "SKILL:k", "REQUIRES")])
+    built = community.build(n, e).cache()
+    got = {r.node_id: (r.community_L1, r.community_L2, r.community_L3) for r in built.collect()}
+    assert set(v[0] for v in got.values()) == {"0"} and got["MAJOR:m"][2] is None and got["MAJOR:m"][1] is not None
+    assert got["SUBJECT:s"][1] == got["SKILL:k"][1] == got["CAREER:c"][1]  # the later definition's
+    assert community.build(built, e, detect=False) is built
+    assert {r.node_id: r.community_L2 for r in community.build(built, e, detect=False, rebuild=True).collect()}["TEACHER:t"] == "0"
+    assert rows(community.scope(n, e, "L3_MAJOR_CENTRIC", major_code="7").select("node_id")) == [("SUBJECT:s",)] and community.scope(n, e, "L2_ACADEMIC").count() == 3

@@ -3,9 +3,9 @@ import json
 from conftest import rows
 from pyspark.sql import functions as F
 
-from graphloom.operators import dataset, evaluate, ingest, mapping
+from graphloom.operators import containing, dataset, evaluate, ingest, load, mapping, providers
 from graphloom.sources import readers, sinks
-from graphloom.streaming.documents import document_stream, event_counts, load_stream
+from graphloom.streaming.documents import document_stream, event_counts, load_stream, stream_graph
 
 NODE = "doc_id string, doctype string, file_name string, pos int, type string, key string, name string"
 REL = "doc_id string, rel_id int, rel_type string, from_major_code string, from_subject_code string, from_career_key string, from_teacher_key string, to_subject_code string, to_skill_key string, to_career_key string"
@@ -120,6 +120,9 @@ def test_files_in_and_out(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s" / "nodes")).select("key").first().key == "7"
     load_stream(document_stream(spark, str(tmp_path / "in")), str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "s" / "nodes")).count() == 1  # nothing is loaded twice
+    nodes, edges = stream_graph(spark, str(tmp_path / "s"))
+    assert rows(nodes.select("node_id", "name")) == [("MAJOR:7", "Luật")] and edges.count() == 0
+    assert [r.nodes_ok for r in spark.read.parquet(str(tmp_path / "s" / "totals")).collect()] == [1]
 
 
 def test_ground_truth_file_with_preamble(spark, tmp_path):
@@ -139,10 +142,121 @@ def test_samples_results_and_plain_graph(spark, tmp_path):
     for name, text in (("1_result.json", "old"), ("2_result.json", "new"), ("3.json", "other")):
         (tmp_path / "r" / name).write_text(json.dumps({"query_id": "q", "generated_answer": text}))
     assert [x.generated_answer for x in readers.results(spark, str(tmp_path / "r")).collect()] == ["new"]
-    (tmp_path / "g.json").write_text(json.dumps({"nodes": ["a"], "edges": [{"source": "a", "target": "b", "type": "R"}, {"from": "b", "to": "c"}]}))
-    assert rows(readers.plain_graph(spark, f"{tmp_path}/g.json")) == [("a", "b", "R"), ("b", "c", None)]
+    (tmp_path / "g.json").write_text(json.dumps({"nodes": ["a", {"id": "z"}], "edges": [{"source": "a", "target": "b", "type": "R"}, {"from": "b", "to": "c"}]}))
+    nodes, edges = readers.plain_graph(spark, f"{tmp_path}/g.json")
+    assert rows(edges) == [("a", "b", "R"), ("b", "c", None)] and rows(nodes) == [("a",), ("b",), ("c",), ("z",)]
 
 
 def test_event_windows(spark):
     df = spark.sql("select timestamp'2026-01-01 00:01:00' as ts union all select timestamp'2026-01-01 00:02:00' union all select timestamp'2026-01-01 00:07:00'")
     assert [r.n for r in event_counts(df, "ts").orderBy("start").collect()] == [2, 1]
+
+
+def test_the_record_below_the_header_may_be_an_example(spark, tmp_path):
+    head = "id,query,query_type,ground_truth_answer,gold_entities,relevant_node_ids,gold_path,gold_hop_count,expected_communities,source_document,annotator,notes\n"
+    for name, ids in (("a.csv", ["q001", "q002"]), ("b.csv", ["q7", "q001"])):
+        (tmp_path / name).write_text(head + "".join(f"{i},q,single_hop,a,a,b,,0,,,,\n" for i in ids), encoding="utf8")
+    good, bad = readers.ground_truth(spark, str(tmp_path))
+    assert sorted(x.id for x in good.collect()) == ["q001", "q002", "q7"] and bad.count() == 0  # a q001 elsewhere is a row
+
+
+def documents(spark):
+    from graphloom.model import KG_DOCUMENT
+
+    def one(doc_id, kind, nodes, rels):
+        return (doc_id, kind, doc_id + ".json", [{f.name: n.get(f.name) for f in KG_DOCUMENT["nodes"].dataType.elementType.fields} for n in nodes], [{f.name: r.get(f.name) for f in KG_DOCUMENT["relationships"].dataType.elementType.fields} for r in rels])
+
+    rel = lambda t, **kw: {"rel_type": t, **kw}
+    docs = [
+        one("CUR-1", "curriculum", [{"type": "MAJOR", "major_code": " 7 ", "major_name_vi": "Luật", "major_name_en": "Law"}, {"type": "SUBJECT", "subject_code": "s", "subject_name_vi": "Logic"}, {"type": "MAJOR"}], [rel("major_offers_subject", from_major_code="7", to_subject_code="s", semester="2"), rel("OFFERS", from_major_code="7", to_subject_code="s", semester="x"), rel("odd"), rel("LEADS_TO", from_major_code="7", to_career_key="gone")]),
+        one("SYL-1", "syllabus", [{"type": "SUBJECT", "subject_code": "s", "subject_name_vi": ""}, {"type": "TEACHER", "name": "An", "teacher_key": "an", "email": "a@x"}, {"type": "TEACHER", "name": "An", "email": ""}, {"type": "TEACHER", "name": "An B", "teacher_key": "an"}, {"type": "SKILL", "skill_name": "đọc", "skill_key": "doc"}], [rel("TEACHER_INSTRUCTS_SUBJECT", from_teacher_key="an", to_subject_code="s")] * 2 + [rel("subject_provides_skill", from_subject_code="s", to_skill_key="doc")]),
+        one("CAR-1", "career_description", [{"type": "CAREER", "career_name_en": "Judge", "career_key": "j"}, {"type": "SKILL", "skill_name": "đọc", "skill_key": "doc"}], [rel("career_requires_skill", from_career_key="j", to_skill_key="doc"), rel("career_requires_skill", from_career_key="j", to_skill_key="doc", required_level="high")]),
+        ("CUR-2", "curriculum", "CUR-2.json", None, None),
+    ]
+    from pyspark.sql import types as T
+
+    return spark.createDataFrame(docs, T.StructType([*[T.StructField(c, T.StringType()) for c in ("doc_id", "doctype", "file_name")], *KG_DOCUMENT.fields]))
+
+
+def test_documents_become_a_graph(spark):
+    nodes, edges, totals = load.load(documents(spark))
+    n = {r.node_id: r for r in nodes.collect()}
+    assert set(n) == {"MAJOR:7", "SUBJECT:s", "TEACHER:An", "TEACHER:An B", "SKILL:đọc", "CAREER:Judge"}
+    assert n["SUBJECT:s"].name == "" and n["TEACHER:An"].email == "a@x" and n["CAREER:Judge"].name == "Judge"  # the last record of a subject, the last that says something of others
+    got = {(r.src, r.dst, r.rel_type, r.semester, r.required_level) for r in edges.collect()}
+    assert got == {
+        ("MAJOR:7", "SUBJECT:s", "OFFERS", 2, None), ("TEACHER:An", "SUBJECT:s", "TEACH", None, None), ("TEACHER:An B", "SUBJECT:s", "TEACH", None, None),
+        ("SUBJECT:s", "SKILL:đọc", "PROVIDES", None, None), ("CAREER:Judge", "SKILL:đọc", "REQUIRES", None, None), ("CAREER:Judge", "SKILL:đọc", "REQUIRES", None, "high"),
+    }
+    assert {r.doc_id: tuple(r)[1:] for r in totals.collect()} == {"CUR-1": (2, 1, 3, 1), "SYL-1": (5, 0, 3, 0), "CAR-1": (2, 0, 2, 0)}
+    nodes, edges, _ = load.load(documents(spark), compat=True)
+    assert "SKILL:đọc" in {r.node_id for r in nodes.collect()} and {r.rel_type for r in edges.collect()} == {"OFFERS", "REQUIRES"}  # by the exact spelling only
+    empty = load.load(documents(spark).limit(0))
+    assert [df.count() for df in empty] == [0, 0, 0]
+
+
+def test_sinks_write_what_readers_read(spark, tmp_path):
+    nodes, edges, _ = load.load(documents(spark))
+    sinks.graph(nodes, edges, f"{tmp_path}/g")
+    assert spark.read.parquet(f"{tmp_path}/g/nodes").filter("label = 'TEACHER'").count() == 2 and spark.read.parquet(f"{tmp_path}/g/edges").count() == edges.count()
+    s = spark.createDataFrame([("q1", ["e"]), ("q2", [])], "id string, errors array<string>")
+    assert [r.id for r in sinks.dataset(s, f"{tmp_path}/d").collect()] == ["q1"] and spark.read.json(f"{tmp_path}/d").count() == 2
+    assert sinks.dataset(s, f"{tmp_path}/none", validate_only=True).count() == 1 and not (tmp_path / "none").exists()
+    r = spark.createDataFrame([("q1", "a"), ("q2", None)], "query_id string, generated_answer string")
+    sinks.results(r, f"{tmp_path}/r")
+    sinks.results(r, f"{tmp_path}/p", per_query=True)
+    assert "generated_answer" in spark.read.json(f"{tmp_path}/r").columns and (tmp_path / "p" / "query_id=q1").exists()
+    m = spark.createDataFrame([(1, "q1", "t", False, *[0.5] * 7)], "row_id int, id string, query_type string, missing boolean, " + ", ".join(f"{x} double" for x in evaluate.METRICS))
+    sinks.report(evaluate.report(m, "d", 5), m, f"{tmp_path}/rep")
+    got = spark.read.json(f"{tmp_path}/rep/report").first()
+    assert got.config.dataset == "d" and len(got.config.timestamp) == 19 and spark.read.json(f"{tmp_path}/rep/per_sample").count() == 1
+
+
+def test_retries():
+    waits, left = [], [providers.RateLimited(), providers.ServiceError(), None]
+
+    def call():
+        e = left.pop(0)
+        if e:
+            raise e
+        return "ok"
+
+    assert providers.patiently(call, sleep=waits.append) == "ok" and waits == [4.0, 4.0]
+    left[:], waits[:] = [ValueError(), ValueError(), None], []
+    assert providers.patiently(call, sleep=waits.append) == "ok" and waits == []
+    left[:] = [providers.ServiceError()] * 3
+    for kind in (providers.ServiceError, providers.RateLimited, ValueError):
+        left[:] = [kind()] * 3
+        try:
+            providers.patiently(call, sleep=waits.append)
+            raise AssertionError
+        except kind:
+            pass
+
+
+def test_extraction_and_intents_from_a_provider(spark):
+    d = spark.createDataFrame([("CUR-1", "curriculum", "good"), ("CUR-2", "curriculum", "bad")], "doc_id string, doctype string, text string")
+    reply = lambda kind, text: '{"nodes": [{"type": "MAJOR", "major_code": "7"}]}' if text == "good" else "no json"
+    got = {r.doc_id: r for r in providers.extract(d, reply).collect()}
+    assert got["CUR-1"].nodes[0].major_code == "7" and got["CUR-2"].nodes is None and got["CUR-2"].failure == "JSONDecodeError"
+    q = spark.createDataFrame([("q1", "x")], "query_id string, query string")
+    i = providers.read_intents(q, lambda question: '{"keywords": ["a"]}').first().intent
+    assert i.keywords == ["a"] and i.asked_label == "UNKNOWN" and i.negated_keywords == [] and i.is_comparison is False
+
+
+def test_containing_equals_nested_loops(spark):
+    import itertools
+
+    texts = ["", "a", "ab", "abc", "xabcx", "abcabc", "ngành luật", "luật", None]
+    words = ["", "a", "bc", "abc", "luật", "zzz", "ngành l", None]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    w = spark.createDataFrame([(j, x) for j, x in enumerate(words)], "j int, w string")
+    want = sorted((i, j) for (i, x), (j, y) in itertools.product(enumerate(texts), enumerate(words)) if x is not None and y is not None and y in x)
+    for counted in (False, True):
+        assert rows(containing.containing(t, "t", w, "w", counted).select("i", "j")) == want
+        assert "NestedLoop" not in containing.containing(t, "t", w, "w", counted)._jdf.queryExecution().toString()
+
+
+def test_numbers_of_blank_rows_that_share_an_id(spark):
+    s = spark.createDataFrame([(1, ""), (1, ""), (2, "a")], "row_id int, id string")
+    assert rows(dataset.number_blank_ids(s)) == [(1, "q001", False), (1, "q002", False), (2, "a", False)]
