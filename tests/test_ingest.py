@@ -259,4 +259,4 @@ def test_containing_equals_nested_loops(spark):
 
 def test_numbers_of_blank_rows_that_share_an_id(spark):
     s = spark.createDataFrame([(1, ""), (1, ""), (2, "a")], "row_id int, id string")
-    assert rows(dataset.number_blank_ids(s)) == [(1, "q001", False), (1, "q002", False), (2, "a", False)]
+    assert rows(dataset.number_blank_ids(s).select("row_id", "id", "duplicate")) == [(1, "q001", False), (1, "q002", False), (2, "a", False)]
