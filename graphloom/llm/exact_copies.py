@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.canon import canon
 from graphloom.functions.columns import pick
+from graphloom.session import cut
 
 #: Between the fields of a key; canonical text never has it.
 _UNIT = "\x1f"
@@ -93,6 +94,7 @@ def collapse_copies(records: DataFrame, min_copies: int = 1) -> DataFrame:
     never the representative unless the group has no other. Repeated rows count as often as they occur. An empty table gives no rows.
     """
     order = ["node_type", "key", "rid"]
+    records = cut(records)  # the range partitioning reads it twice, once for its sample
     runs = records.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_scan_runs(min_copies), "node_type string, key string, rid long, n long")
     inner = F.when(F.col("key").isNull(), F.struct("rid", F.monotonically_increasing_id().alias("m")))
     merged = runs.withColumn("inner", inner).groupBy("node_type", "key", "inner").agg(F.min("rid").alias("record_id"), F.sum("n").alias("copies"))

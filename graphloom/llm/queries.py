@@ -79,12 +79,7 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each document, and whether decoding its ids gives the text back."""
-    docs = _t(spark, sf_dir, "documents")
-    vocabulary = tokens.public_vocabulary()
-    encoded = tokens.encode_corpus(docs, *vocabulary)
-    back = tokens.decode_corpus(encoded, *vocabulary).withColumnRenamed("text", "back")
-    both = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(back, "doc_id").select("doc_id", (F.col("text") == F.col("back")).alias("round_trip"))
-    return encoded.select("doc_id", F.size("ids").alias("n_tokens")).join(both, "doc_id")
+    return tokens.round_trips(_t(spark, sf_dir, "documents"), *tokens.public_vocabulary())
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

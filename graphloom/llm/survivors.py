@@ -11,7 +11,6 @@ Trust and recency can't be told from text, so the vote can't give the first resu
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -65,7 +64,7 @@ def group_majors(majors: DataFrame) -> DataFrame:
 
 
 def survivors(majors: DataFrame, trust: DataFrame) -> DataFrame:
-    """(group_id, code_from, name_vi_from, name_en_from), one row per group of at least two records.
+    """(group_id, code_from, name_vi_from, name_en_from), one row per group of at least two records; not the consensus, see the module's text.
 
     Of the records with a usable value the one of best trust_rank (unlisted and null sources last, alike), then latest extracted_at
     (null last), then smallest record_id supplies a field; 0 if none has one. One hash aggregation with partial sums before the
@@ -87,19 +86,24 @@ def survivors(majors: DataFrame, trust: DataFrame) -> DataFrame:
 
 # --- consensus by progressive alignment ---------------------------------------------------------------------------------------
 
-#: Values aligned in one task at a time; larger groups are aligned in several blocks whose profiles are aligned in turn.
-BLOCK = 256
-#: Profiles aligned in one task at a time, level by level, until a group has one.
-FAN = 64
+#: Token sequences aligned at a time; larger groups are aligned in several blocks whose profiles are aligned in turn.
+BLOCK = 64
+#: Profiles aligned at a time, level by level, until a group has one.
+FAN = 16
 GAP = ""
 
 Profile = list[dict[str, float]]
 
 
-def _score(a: dict[str, float], b: dict[str, float]) -> float:
-    """How well two columns agree: the share of weight on common tokens."""
-    wa, wb = sum(a.values()), sum(b.values())
-    return sum(min(w / wa, b[t] / wb) for t, w in a.items() if t in b and t != GAP) if wa and wb else 0.0
+def _shares(p: Profile) -> list[dict[str, float]]:
+    """Each column's tokens with their share of the column's weight; gaps agree with nothing."""
+    return [{t: w / total for t, w in c.items() if t != GAP} if (total := sum(c.values())) else {} for c in p]
+
+
+def _agreement(a: list[dict[str, float]], b: list[dict[str, float]]) -> list[list[float]]:
+    """How well each two columns agree: the share of weight on common tokens."""
+    single = [next(iter(c)) if len(c) == 1 and next(iter(c.values())) == 1.0 else None for c in b]
+    return [[x.get(t, 0.0) if t is not None else sum(min(w, y[k]) for k, w in x.items() if k in y) for t, y in zip(single, b)] for x in a]
 
 
 def align(p: Profile, q: Profile) -> Profile:
@@ -107,17 +111,17 @@ def align(p: Profile, q: Profile) -> Profile:
     if not p or not q:
         return p or q
     n, m, gap = len(p), len(q), -0.5
-    best = [[gap * j for j in range(m + 1)]]
+    agree = _agreement(_shares(p), _shares(q))
+    best = [gap * j for j in range(m + 1)]
     back = [[2] * (m + 1)]
     for i in range(1, n + 1):
-        row, step = [gap * i], [1]
+        row, step, own = [gap * i], [1], agree[i - 1]
         for j in range(1, m + 1):
-            s = _score(p[i - 1], q[j - 1])
-            options = (best[i - 1][j - 1] + (2 * s - 0.9), best[i - 1][j] + gap, row[j - 1] + gap)
-            k = max(range(3), key=lambda x: (options[x], -x))
-            row.append(options[k])
+            both, up, left = best[j - 1] + (2 * own[j - 1] - 0.9), best[j] + gap, row[j - 1] + gap
+            k = 0 if both >= up and both >= left else 1 if up >= left else 2
+            row.append((both, up, left)[k])
             step.append(k)
-        best.append(row)
+        best = row
         back.append(step)
     wp, wq = sum(p[0].values()), sum(q[0].values())
     out: Profile = []
@@ -126,9 +130,10 @@ def align(p: Profile, q: Profile) -> Profile:
         k = back[i][j] if i and j else (1 if i else 2)
         a = p[i - 1] if k in (0, 1) else {GAP: wp}
         b = q[j - 1] if k in (0, 2) else {GAP: wq}
-        both = Counter(a)
-        both.update(b)
-        out.append(dict(both))
+        column = dict(a)
+        for t, w in b.items():
+            column[t] = column.get(t, 0.0) + w
+        out.append(column)
         i -= k in (0, 1)
         j -= k in (0, 2)
     return out[::-1]
@@ -151,10 +156,10 @@ def distance(a: list[str], b: list[str]) -> int:
 
 
 def _profile(values: list[tuple[str, float]]) -> Profile:
-    """Progressive alignment, heaviest value first, so the common wording is the guide for the rare ones."""
+    """Progressive alignment of token sequences (joined by spaces), heaviest first, so the common wording is the guide for the rare ones."""
     p: Profile = []
-    for text, w in sorted(values, key=lambda v: (-v[1], v[0])):
-        p = align(p, [{t: w} for t in words(text)])
+    for tokens, w in sorted(values, key=lambda v: (-v[1], v[0])):
+        p = align(p, [{t: w} for t in tokens.split(" ") if t])
     return p
 
 
@@ -165,17 +170,25 @@ def consensus(values: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFram
     """(grp, field, value, votes): of each group and field the existing value closest to the consensus of its tokens.
 
     ``values`` has (grp, field, value, weight), one row per record and field; null, blank and punctuation-only values don't vote.
-    Equal values are summed before the shuffle, so a group of a million copies is a few distinct values. Distinct values are dealt
-    into blocks of about ``block``; each is aligned in one task, and the profiles of a group's blocks (a few columns each) are aligned
-    ``fan`` at a time, level by level, until one is left. No task holds more than a block of values or ``fan`` profiles. Ties go to the
+    Equal values, and then values of equal tokens, are summed before they are aligned, so a group of a million copies is a few distinct
+    sequences. These are dealt into blocks of about ``block``; each is aligned by itself, and the profiles of a group's blocks (a few
+    columns each) are aligned ``fan`` at a time, level by level, until one is left. Blocks, not groups, are spread over the cores. Ties go to the
     heavier value, then to the smaller text. Groups without a usable value give no row.
     """
-    v = cut(values.filter(F.col("value").isNotNull() & F.col("value").rlike(r"[\p{L}\p{N}]")).groupBy("grp", "field", "value").agg(F.sum("weight").alias("w")))
-    sizes = v.groupBy("grp", "field").agg(F.count(F.lit(1)).alias("n"))
-    dealt = v.join(sizes, ["grp", "field"]).withColumn("block", F.pmod(F.xxhash64("value"), F.ceil(F.col("n") / block).cast("long"))).drop("n")
+    @F.pandas_udf("string")
+    def tokens_of(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: " ".join(words(t)))
+
+    summed = values.filter(F.col("value").isNotNull() & F.col("value").rlike(r"[\p{L}\p{N}]")).groupBy("grp", "field", "value").agg(F.sum("weight").alias("w"))
+    v = cut(summed.withColumn("tokens", tokens_of("value")))
+    sequences = cut(v.groupBy("grp", "field", "tokens").agg(F.sum("w").alias("w")))
+    sizes = sequences.groupBy("grp", "field").agg(F.count(F.lit(1)).alias("n"))
+    dealt = sequences.join(sizes, ["grp", "field"]).withColumn("block", F.pmod(F.xxhash64("tokens"), F.ceil(F.col("n") / block).cast("long"))).drop("n")
+    # few bytes, but much work: the number of partitions is given, so that they aren't put together
+    spread = lambda df: df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "grp", "field", "block")
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p = _profile(list(zip(pdf["value"], pdf["w"])))
+        p = _profile(list(zip(pdf["tokens"], pdf["w"])))
         return pd.DataFrame({"grp": [key[0]], "field": [key[1]], "block": [key[2]], "profile": [p]})
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -190,19 +203,19 @@ def consensus(values: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFram
         return pd.Series([elect([dict(c) for c in p]) for p in profiles])
 
     shape = f"grp string, field string, block long, profile {_PROFILE}"
-    profiles = dealt.groupBy("grp", "field", "block").applyInPandas(first, shape)
+    profiles = spread(dealt).groupBy("grp", "field", "block").applyInPandas(first, shape)
     blocks = -(-(sizes.agg(F.max("n").alias("m")).first().m or 0) // block)
     while blocks > 1:
         up = profiles.withColumn("part", F.col("block")).withColumn("block", F.floor(F.col("block") / fan))
-        profiles = up.groupBy("grp", "field", "block").applyInPandas(merge, shape)
+        profiles = spread(up).groupBy("grp", "field", "block").applyInPandas(merge, shape)
         blocks = -(-blocks // fan)
     elected = profiles.select("grp", "field", elected_of("profile").alias("elected"))
 
     @F.pandas_udf("int")
     def away(text: pd.Series, target: pd.Series) -> pd.Series:
-        return pd.Series([distance(words(t), list(e)) for t, e in zip(text, target)])
+        return pd.Series([distance(t.split(" ") if t else [], list(e)) for t, e in zip(text, target)])
 
-    scored = v.join(elected, ["grp", "field"]).withColumn("d", away("value", "elected"))
+    scored = v.join(elected, ["grp", "field"]).withColumn("d", away("tokens", "elected"))
     pickd = F.min(F.struct("d", (-F.col("w")).alias("w"), "value"))
     return scored.groupBy("grp", "field").agg(pickd.alias("b"), F.sum("w").alias("votes")).select("grp", "field", F.col("b.value").alias("value"), "votes")
 

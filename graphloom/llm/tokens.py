@@ -153,6 +153,21 @@ def count_tokens(docs: DataFrame, vocabulary: str, pattern: str, keep: list[str]
     return t.mapInArrow(run, f"{types}, n_tokens long")
 
 
+def round_trips(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, round_trip): how many ids each text has, and whether decoding them gives it back; one pass, no text moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary, pattern)
+        for b in batches:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            ids = [c.encode(x) for x in texts]
+            back = [c.decode(i) == x for i, x in zip(ids, texts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, ids), pa.int32()), pa.array(back, pa.bool_())], names=["doc_id", "n_tokens", "round_trip"])
+
+    t = pick(docs, [id_col, text_col]).toDF("doc_id", "text")
+    return t.mapInArrow(run, f"doc_id {t.schema['doc_id'].dataType.simpleString()}, n_tokens int, round_trip boolean")
+
+
 def decode_corpus(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids): the inverse; the empty list gives the empty text."""
 
