@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.canon import canon, even, fold, words
 from graphloom.functions.columns import pick
+from graphloom.llm.name_forms import is_syllable
 from graphloom.session import cut
 
 #: In the order in which a pair's one defect is chosen.
@@ -46,10 +48,13 @@ REFUSALS = [
     r"\b(?:can ?not|can ?t|can t|could not|couldn ?t|unable to|not able to|won ?t|will not) (?:help|assist|answer|provide|discuss|comment|respond|share|give|determine|find|comply|fulfil)", r"rather not (?:answer|say|discuss)", r"(?:decline|refuse) to",
     r"no answer (?:can|could) be given", r"(?:nothing|no (?:information|data|mention|record\w*|answer)) (?:about|on|for|regarding|of) (?:this|that|it)", r"(?:do|does|did) not (?:have|contain|include|mention|provide|know|cover) (?:\w+ )*?(?:data|information|answer|details|this|that|it)\b",
     r"don ?t (?:have|know) ", r"(?:outside|beyond) (?:what|my|the|our) ", r"not (?:allowed|permitted) to", r"no (?:information|data) (?:is )?(?:available|found|provided)", r"as an? (?:ai|assistant|language model) i",
-    r"je ne (?:peux|sais|suis)|ne peux pas repondre|pas (?:d information|en mesure)|desole", r"no puedo (?:responder|ayudar|contestar)|no (?:tengo|hay|dispongo de) (?:suficiente )?(?:informacion|datos)|lo siento", r"kann (?:ich )?(?:diese|die|das|ihnen|dir)?.{0,30}nicht|keine (?:informationen|angaben|daten)|tut mir leid",
+    r"je ne (?:peux|sais|suis)|ne peux pas repondre|pas (?:d information|en mesure)|desole", r"no puedo (?:responder|ayudar|contestar)|no (?:tengo|hay|dispongo de) (?:suficiente )?(?:informacion|datos)|lo siento", r"kann (?:ich )?(?:diese|die|das|ihnen|dir)?.{0,30}nicht|keine (?:informationen|angaben|daten)|tut mir leid|wei(?:ss|ß) (?:ich |es |das |leider )*nicht",
+    r"vet (?:jeg |jag |dessverre |tyvarr )*(?:ikke|inte)|kan (?:jeg |jag |dessverre |tyvarr )*(?:ikke|inte) svar|weet (?:ik )?(?:het )?(?:helaas )?niet|kan (?:ik )?.{0,20}niet beantwoorden|nie (?:wiem|moge odpowiedziec)|tidak (?:tahu|bisa menjawab|dapat menjawab)",
     r"申し訳|お答えでき|回答でき|分かりません|わかりません|情報がありません|無法回答|无法回答|抱歉|不能回答|没有(?:相关)?信息|죄송|답변(?:할 수|드릴 수) 없|알 수 없", r"не могу|извините|нет (?:информации|данных)|nao posso|desculpe|non posso|mi dispiace",
 ]
 _REFUSAL = re.compile("|".join(REFUSALS))
+#: In Thai, whose vowels are marks that folding takes away.
+_THAI_REFUSAL = re.compile("ขออภัย|ไม่สามารถตอบ|ไม่ทราบ|ไม่มีข้อมูล")
 #: After these the sentence answers after all.
 _TURN = re.compile(r"\b(?:nhung|tuy nhien|tuy vay|song le|but|however|mais|pero|aber|mas)\b")
 #: Sentences that go with a refusal and say nothing more.
@@ -78,19 +83,19 @@ _ECHOED = re.compile(r"^(?:về câu hỏi|ve cau hoi|regarding(?: the question)
 _ANSWER_IS = re.compile(r"^(.{3,}?)[?？]?\s*(?:câu trả lời là|cau tra loi la|the answer is|answer|trả lời)\s*:\s*", re.I | re.S)
 _LABEL = re.compile(rf"^\s*(?:\*\*|#+\s*)?{LABELS}(?:\s+(?:của bạn|cua ban))?(?:\s+(?:là|la|is))?\s*[:：]\s*(?:\*\*)?\s*", re.I)
 
-# The parts of a Vietnamese syllable, without tone marks.
-_ONSET = "b|ch|c|d|gh|gi|g|h|kh|k|l|m|ngh|ng|nh|n|ph|qu|q|r|s|th|tr|t|v|x|"
-_RIME = "a|ac|ach|ai|am|an|ang|anh|ao|ap|at|au|ay|e|ec|em|en|eng|eo|ep|et|e|ech|en|enh|et|eu|i|ia|ich|iec|iem|ien|ieng|iep|iet|ieu|im|in|inh|ip|it|iu|o|oa|oac|oach|oai|oam|oan|oang|oanh|oat|oay|oc|oe|oen|oet|oi|om|on|ong|ooc|op|ot|u|ua|uan|uang|uat|uay|uc|ue|uech|uenh|ui|um|un|ung|uo|uoc|uoi|uom|uon|uong|uop|uot|uou|up|ut|uu|uy|uya|uych|uyen|uyet|uynh|uyt|uyu|y|yem|yen|yet|yeu|ynh|yt"
-_SYLLABLE = re.compile(rf"^(?:{_ONSET})(?:{_RIME})$")
 _VIET = re.compile(r"[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹĩũ]")
-# Common words of languages in Latin script.
+# Common words of languages in Latin script, whatever is spoken of; of the last four only what is no Vietnamese syllable.
 COMMON = {
-    "en": frozenset("the of and to is are was were be with on that this by as from it its or not have has their which who what when they students course taught together taken needed skills programme project work offered semester lecturer faculty teaches training trains yes but most more usually each year first total periods ends using use uses tools does how where changing".split()),
-    "fr": frozenset("le la les des du et un une est sont dans pour par avec que qui au aux ce cette se il plus sur cours module plusieurs compétences assuré projet semestre équipe termine étudiants porte".split()),
-    "de": frozenset("der die das und ist sind wird mit einer ein eine im für von zu den dem auf kurs fach vermittelt endet angeboten projektarbeit semester fähigkeiten studierende praktische".split()),
-    "es": frozenset("el los las del y es son en con para por que una este esta curso enseña habilidades prácticas termina proyecto equipo usando estudiantes asignatura semestre se".split()),
-    "pt": frozenset("o os das dos e é são em com para por que uma este esta curso ensina termina projeto equipe usando alunos".split()),
-    "it": frozenset("il lo gli della del e è sono con per che una questo corso insegna termina progetto studenti usando".split()),
+    "en": frozenset("the of and to is are was were be with on that this by as from it or not have has their which who what when they yes but most more each first does how where for in using usually together".split()),
+    "fr": frozenset("le la les des du et un une est sont dans pour par avec que qui au aux ce cette se il plus sur plusieurs pas elle".split()),
+    "de": frozenset("der die das und ist sind wird mit einer ein eine im für von zu den dem auf nicht sich auch werden nach oder ich wir sie".split()),
+    "es": frozenset("el los las del y es son en con para por que una este esta como más pero".split()),
+    "pt": frozenset("o os as dos das e é são em com para por que uma este esta não mais".split()),
+    "it": frozenset("il lo gli della del e è sono con per che una questo non nel alla dei più".split()),
+    "nl": frozenset("het een zijn voor dat dit wordt worden niet aan door ook naar deze".split()),
+    "pl": frozenset("jest się nie oraz przez dla są który która przed jako lub".split()),
+    "id": frozenset("yang untuk dengan adalah pada tidak dari dalam oleh akan juga atau".split()),
+    "sv": frozenset("och är det att som på för av inte till ett från".split()),
 }
 VIET = frozenset("là của và có được cho các một những trong với khi để này người về không phải sẽ đã nếu vì hoặc cũng nên thì mà do qua vào theo gồm mỗi nào cần còn nhưng thường yêu cầu".split())
 VIET_PLAIN = frozenset("cua duoc nhung voi nguoi khong phai trong cac mot khi hoac neu theo moi la va co nay thuong yeu cau".split())
@@ -200,6 +205,8 @@ def _edits(a: str, b: str, most: int) -> bool:
 def is_refusal(answer: str | None) -> bool:
     """Some sentence refuses, none turns round, and what else is said is polite."""
     t = tidy(answer)
+    if _THAI_REFUSAL.search(t):
+        return True
     spoken = fold(even(t))
     if not _REFUSAL.search(re.sub(r"[^\w\s]+", " ", spoken)):
         return False
@@ -222,28 +229,40 @@ def _answers_after_colon(spoken: str) -> bool:
     return not _REFUSAL.search(re.sub(r"[^\w\s]+", " ", tail)) and len(tail.split()) > 2
 
 
+_BEYOND = re.compile(r"[\u0370-\u1dff\u2e80-\ufaff]")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+
+
+@lru_cache(maxsize=100_000)
+def _about(w: str) -> tuple[str, bool, bool, bool, tuple[str, ...]]:
+    """(the word in one form, built as a Vietnamese syllable, with Vietnamese marks, common in Vietnamese, the languages it is common in)."""
+    e = even(w)
+    f = fold(e)
+    return e, is_syllable(f), bool(_VIET.search(e)), e in VIET or f in VIET_PLAIN, tuple(k for k, v in COMMON.items() if e in v)
+
+
 @lru_cache(maxsize=1024)
 def spoken_language(text: str) -> str:
-    """The language of a text, '' if names and terms are all there is."""
-    n = sum(c.isalpha() for c in text)
+    """The language of a text, '' if names and terms are all there is; 'latin' is one in that script which isn't known here."""
+    n = sum(map(str.isalpha, text))
     if not n:
         return ""
-    for lang, script in _SCRIPTS:
-        if (k := len(script.findall(text))) >= 4 and k > 0.08 * n:  # names around it may be in Latin script
-            return lang
-    letters = [c for c in text if c.isalpha()]
-    if sum(c.isupper() for c in letters) > 0.6 * len(letters):
+    if _BEYOND.search(text):
+        for lang, script in _SCRIPTS:
+            if (k := len(script.findall(text))) >= 4 and k > 0.08 * n:  # names around it may be in Latin script
+                return lang
+    if sum(map(str.isupper, text)) > 0.6 * n:
         text = text.lower()
-    raw = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", text)
     # capitals inside a sentence are names and terms
-    own = [even(w) for i, w in enumerate(raw) if w.islower() or (i == 0 and w[1:].islower())]
-    if len(set(own)) < 3:
+    own = [_about(w) for i, w in enumerate(_WORD.findall(text)) if w.islower() or (i == 0 and w[1:].islower())]
+    kinds = {x[0]: x for x in own}
+    if len(kinds) < 3:
         return ""
-    votes = {k: len({w for w in own if w in v}) for k, v in COMMON.items()}
-    syllables = sum(bool(_SYLLABLE.match(fold(w))) for w in own) / len(own)
-    marks = sum(bool(_VIET.search(w)) for w in own) / len(own)
-    best = max(votes, key=lambda k: votes[k])
-    viet = len({w for w in own if w in VIET or fold(w) in VIET_PLAIN})
+    votes = Counter(k for x in kinds.values() for k in x[4])
+    best = max(COMMON, key=lambda k: votes[k])
+    viet = sum(x[3] for x in kinds.values())
+    syllables = sum(x[1] for x in own) / len(own)
+    marks = sum(x[2] for x in own) / len(own)
     if votes[best] >= 2 and votes[best] > 2 * viet:  # around Vietnamese names, too
         return best
     if marks > 0.4 or (syllables >= 0.85 and marks > 0.1):
@@ -259,7 +278,8 @@ def is_other_language(question: str | None, answer: str | None) -> bool:
     q, a = spoken_language(tidy(question)), spoken_language(strip_echo(question, tidy(answer)))
     if not q or not a or q == a:
         return False
-    return not ("latin" in (q, a) and "vi" not in (q, a) and {q, a} <= {"latin", "en", "fr", "de", "es", "pt", "it"})
+    # a text of few common words may be in any language of Latin script but Vietnamese
+    return not ("latin" in (q, a) and (q in COMMON or a in COMMON or q == a))
 
 
 def strip_echo(question: str | None, t: str) -> str:

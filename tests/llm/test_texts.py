@@ -96,6 +96,18 @@ def test_defects(spark):
     assert A.defects([(df.limit(0), "t", "id", "q", "a")]).count() == 0
 
 
+def test_languages_and_refusals_beyond_the_usual_ones():
+    asked = "Who teaches the course and when is it offered?"
+    for answer in ("Kurs jest prowadzony przez dział informatyki oraz kończy się egzaminem, który jest pisemny.", "Het vak wordt door de faculteit gegeven en het eindigt niet met een toets.", "Die Vorlesung wird von der Fakultät angeboten und endet mit einer Prüfung.", "Mata kuliah yang wajib ini adalah untuk mahasiswa dan tidak berakhir dengan ujian.", "วิชานี้เปิดสอนในภาคเรียนที่สาม"):
+        assert A.is_other_language(asked, answer) and not A.is_refusal(answer), answer
+        assert A.is_other_language("Môn này học ở kỳ mấy và ai là giảng viên?", answer)
+    assert A.is_other_language("Wer hält die Vorlesung und wann wird sie angeboten?", "The course is taught by the faculty and ends with an exam.")
+    assert not A.is_other_language("Nganh Ngon ngu di san kien truc thuy san lien ket quoc te dan toi nghe nao?", "Sinh viên tốt nghiệp ngành này thường làm trưởng phòng.")
+    assert not A.is_other_language(asked, "Rust, Docker, Kubernetes") and not A.is_other_language(asked, "It is taught by the faculty and offered in autumn.")
+    for answer in ("Ich weiß es leider nicht.", "Das kann ich nicht beantworten.", "Det vet jeg dessverre ikke.", "ขออภัย ไม่มีข้อมูล", "Nie wiem.", "Dat weet ik helaas niet."):
+        assert A.is_refusal(answer), answer
+
+
 def test_list_ends_and_habits_are_learnt_from_the_corpus(spark):
     full = [(i, "q", f"Môn {i} rèn 2 kỹ năng: đọc sách bằng Rust; viết sách bằng Docker") for i in range(20)] + [(i, "q", f"Môn {i} rèn 2 kỹ năng: viết sách bằng Docker; đọc sách bằng Rust") for i in range(20, 40)]
     cut = [(100, "q", "Môn này rèn 2 kỹ năng: đọc sách bằng Rust; viết sách bằng Dock")]
