@@ -48,7 +48,7 @@ def even(text: str) -> str:
     """One Unicode form and one letter case: NFKC, case folding, NFKC again."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return unicodedata.normalize("NFKC", (text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).casefold())
 
 
 def canon(text: str | None) -> str:
@@ -58,14 +58,22 @@ def canon(text: str | None) -> str:
     if text.isascii():
         return text.lower().translate(_STRIP)
     # signs go before the forms are evened: a spacing accent would otherwise become one of the letter before it
-    return unicodedata.normalize("NFKC", even(text.translate(_STRIP)).translate(_STRIP))
+    bare = text.translate(_STRIP)
+    if unicodedata.is_normalized("NFKC", bare):  # evening then only folds case, which makes no signs
+        return even(bare)
+    return unicodedata.normalize("NFKC", even(bare).translate(_STRIP))
 
 
 def words(text: str | None) -> list[str]:
     """The words of a text in one Unicode form and case, split at white space, punctuation and symbols (but + and #)."""
     if not text:
         return []
-    return (text.lower() if text.isascii() else even(text.translate(_SPACE))).translate(_SPACE).split()
+    if text.isascii():
+        return text.lower().translate(_SPACE).split()
+    spaced = text.translate(_SPACE)
+    if unicodedata.is_normalized("NFKC", spaced):
+        return even(spaced).split()
+    return even(spaced).translate(_SPACE).split()
 
 
 _FOLDED: dict[str, str] = {}

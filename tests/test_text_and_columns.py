@@ -1,5 +1,7 @@
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
@@ -42,3 +44,17 @@ def test_fuzzy_names_empty_matches_anything(spark):
 
 def test_rows_helper(spark):
     assert rows(spark.range(2)) == [(0,), (1,)]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=30) | st.text(alphabet="aÀđĐ İẞǰﬁ…½①．，！\u0301\u0307\u200b\ufeffﾞ゛´¨+#_-", max_size=12))
+def test_canonical_text_by_its_definition(text):
+    import unicodedata
+
+    from graphloom.functions import canon as C
+
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    even = lambda t: nfkc(nfkc(t).casefold())
+    assert C.even(text) == even(text)
+    assert C.canon(text) == nfkc(even(text.translate(C._STRIP)).translate(C._STRIP))
+    assert C.words(text) == even(text.translate(C._SPACE)).translate(C._SPACE).split()
