@@ -102,15 +102,12 @@ VIET_PLAIN = frozenset("cua duoc nhung voi nguoi khong phai trong cac mot khi ho
 _SCRIPTS = [("ja", re.compile(r"[ぁ-ゖァ-ヺ]")), ("ko", re.compile(r"[가-힣]")), ("zh", re.compile(r"[㐀-鿿]")), ("ru", re.compile(r"[Ѐ-ӿ]")), ("ar", re.compile(r"[؀-ۿ]")), ("th", re.compile(r"[฀-๿]")), ("hi", re.compile(r"[ऀ-ॿ]"))]
 
 
-class _Seen(dict[int, object]):
-    """str.translate table that drops format characters, filled as code points turn up."""
+#: Format characters, which show nothing.
+_FORMAT = re.compile(r"[\xad\u0600-\u0605\u061c\u06dd\u070f\u0890\u0891\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff\ufff9-\ufffb\U000110bd\U000110cd\U00013430-\U0001343f\U0001bca0-\U0001bca3\U0001d173-\U0001d17a\U000e0001\U000e0020-\U000e007f]")
 
-    def __missing__(self, cp: int) -> object:
-        self[cp] = None if unicodedata.category(chr(cp)) == "Cf" else cp
-        return self[cp]
 
-
-_SEEN = _Seen()
+def _seen(text: str) -> str:
+    return _FORMAT.sub("", text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text))
 
 
 @lru_cache(maxsize=1024)
@@ -119,9 +116,9 @@ def tidy(text: str | None) -> str:
     if not text:
         return ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(_SEEN)
+        text = _seen(text)
     if "<" in text or "&" in text:
-        text = unicodedata.normalize("NFKC", html.unescape(_TAG.sub(" ", text))).translate(_SEEN)
+        text = _seen(html.unescape(_TAG.sub(" ", text)))
     return text.strip()
 
 

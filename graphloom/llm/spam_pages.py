@@ -154,7 +154,7 @@ def _split_words(segments: list[str]) -> list[list[str]]:
         return []
     if whole.count(_BORDER) != max(len(segments) - 1, 0) or not unicodedata.is_normalized("NFKC", whole):
         return [words(s) for s in segments]
-    return [part.split() for part in whole.casefold().translate(_PARTS).split(_BORDER)]
+    return [part.split() for part in even(whole).translate(_PARTS).split(_BORDER)]
 
 
 class _Parts(dict[int, object]):
