@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined, slug
 from graphloom.model import NODES_BY_DOCTYPE, REL_TYPES
-from graphloom.operators import ingest, load, mapping, repair, upsert
+from graphloom.operators import ingest, journal, load, mapping, repair, upsert
 from graphloom.sources import domain, fixture_graph
 
 Q: dict = {}
@@ -71,6 +71,20 @@ SELECT doc_id, CASE WHEN bool_or(k IN ('CAREER', 'career_requires_skill')) THEN
 )
 
 
+def _journal(s: SparkSession, d: str) -> DataFrame:
+    """How many records each step of ingestion leaves, by kind."""
+    n, r, c = _parts(s, d)
+    nodes = journal.counted({"nodes read": n, "nodes clean": ingest.repair_nodes(n)}, F.col("type"))
+    return nodes.unionByName(journal.counted({"relationships read": r, "relationships clean": ingest.repair_rels(n, r, c)}, F.col("rel_type")))
+
+
+_add(
+    "step_counts", _journal,
+    f"""WITH {_D}, {_FIX} SELECT 'nodes read' AS step, coalesce(type, '') AS detail, count(*) AS n FROM dn GROUP BY ALL UNION ALL SELECT 'nodes clean', type, count(*) FROM dn WHERE {_OK} AND key <> '' AND name <> '' GROUP BY ALL
+ UNION ALL SELECT 'relationships read', coalesce(rel_type, ''), count(*) FROM relationships GROUP BY ALL UNION ALL SELECT 'relationships clean', rel_type, count(*) FROM relationships WHERE rel_id IN (FROM fixed) GROUP BY ALL""",
+)
+
+
 # --- names to codes
 def _index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     m = domain.table(s, d, "major").filter(F.col("major_code").rlike("^[0-9]{7}$"))
