@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.columns import pick
+from graphloom.session import cut
 
 # The columns of a ground-truth file and the kinds of query.
 COLUMNS = [
@@ -78,6 +79,12 @@ def _value_fault(f: Column) -> Column:
     )
 
 
+def _conforming(t: Column) -> Column:
+    """[the fields] of a record that loads, else []."""
+    sound = t.rlike(rf"\A{_FIELD}{_NEXT}{{{len(COLUMNS) - 1}}}+\z") & ~not_a_record(t)
+    return F.filter(F.array(F.when(sound, _fields(t))), lambda x: x.isNotNull() & _value_fault(x).isNull())
+
+
 def load_rows(raw: DataFrame, id_col: str = "raw_id", text_col: str = "raw_text") -> DataFrame:
     """The strict load: one row per conforming record, with its offset and the twelve columns as strings.
 
@@ -85,9 +92,8 @@ def load_rows(raw: DataFrame, id_col: str = "raw_id", text_col: str = "raw_text"
     table gives an empty result; repeated records are all loaded; extra columns of ``raw`` are ignored.
     """
     t = pick(raw, [id_col, text_col]).toDF("raw_id", "t").withColumn("t", _record(F.col("t")))
-    ok = t.filter(F.col("t").rlike(rf"\A{_FIELD}{_NEXT}{{{len(COLUMNS) - 1}}}+\z") & ~not_a_record(F.col("t")))
-    # split once and keep what has no faulty value: a filter on a column would be pushed down with the splitting repeated in it
-    f = ok.select("raw_id", F.explode(F.filter(F.array(_fields(F.col("t"))), lambda x: _value_fault(x).isNull())).alias("f"))
+    # split once: a filter on a column would be pushed down with the splitting repeated in it
+    f = t.select("raw_id", F.explode(_conforming(F.col("t"))).alias("f"))
     return f.select("raw_id", *[F.col("f")[i].alias(c) for i, c in enumerate(COLUMNS)])
 
 
@@ -98,10 +104,15 @@ def reject_rows(raw: DataFrame, id_col: str = "raw_id", text_col: str = "raw_tex
     records (header, comment, example, blank, null text) are not rejected. A null offset can't be subtracted, so such a record is
     diagnosed like the remainder and left out if nothing is wrong with it. Of records that share an offset, which must be unique,
     none is rejected if one of them loads.
+
+    The load is tried once; what is kept of it in the shared checkpoint folder are the offsets, and the text only of what didn't load.
+    So the anti-join moves no text of a loaded record.
     """
-    t = pick(raw, [id_col, text_col]).toDF("raw_id", "t")
-    rest = t.join(load_rows(raw, id_col, text_col).select("raw_id"), "raw_id", "left_anti")
-    return diagnose(rest)
+    t = pick(raw, [id_col, text_col]).toDF("raw_id", "t").withColumn("r", _record(F.col("t")))
+    tried = t.select("raw_id", "t", F.explode(F.array(F.size(_conforming(F.col("r"))) > 0)).alias("ok"))
+    kept = cut(tried.select("raw_id", "ok", F.when(~F.col("ok"), F.col("t")).alias("t")))
+    rest = kept.join(kept.filter("ok").select("raw_id"), "raw_id", "left_anti").filter("t is not null")
+    return diagnose(rest.select("raw_id", "t"))
 
 
 def diagnose(rest: DataFrame) -> DataFrame:
