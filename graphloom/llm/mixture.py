@@ -65,7 +65,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: s
     A source without usable documents is reported with nothing reached, and its share goes to the others in proportion. A source
     repeated in ``targets`` counts with the sum of its shares and its smallest cap; null sources, and shares or caps of 0 or less,
     draw nothing. With a total beyond what the caps allow, the capped sources fall short and the report says by how much. Empty
-    documents or targets give an empty mixture.
+    documents or targets give an empty mixture. Without ``total_tokens`` the scarcest source sets the size of the whole mixture; the
+    report marks it (at_cap).
     """
     spark = docs.sparkSession
     t = pick(targets, ["source", "target_share", "max_repeats"]).filter(F.col("source").isNotNull())
@@ -86,15 +87,21 @@ def mix_sources(docs: DataFrame, targets: DataFrame, vocabulary: str, pattern: s
     # one row per range partition and source boundary, so its size is bounded by the number of partitions and targets
     offsets = parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(draw, "source").select("source", "part", "first", "before", "rate", "shift")
     rank = F.col("before") + F.col("at") - F.col("first")
-    crossed = F.floor(F.col("shift") + F.col("rate") * (rank + 1)) - F.floor(F.col("shift") + F.col("rate") * rank)
+    # decimals: doubles would lose whole copies once rank times rate has no digits left behind the point
+    rate_, shift = F.col("rate").cast("decimal(17,12)"), F.col("shift").cast("decimal(17,12)")
+    at = lambda r: F.floor(shift + rate_ * r.cast("decimal(19,0)"))
+    crossed = at(rank + 1) - at(rank)
     drawn = placed.join(F.broadcast(offsets), ["source", "part"]).withColumn("n_copies", crossed.cast("int")).filter("n_copies > 0")
     copies = drawn.select("doc_id", "source", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy_no"))
 
     has = parts.groupBy("source").agg(F.sum("n").alias("texts"), F.sum("tokens").alias("tokens"))
     used = drawn.groupBy("source").agg(F.sum("n_copies").alias("copies"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("tokens_used"), F.max("n_copies").alias("most_repeats"))
     every = Window.partitionBy()  # one row per target source
+    scarce = draw.select("source", F.col("rate").alias("_rate"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     shares = t.join(has, "source", "left").join(used, "source", "left").select("source", "target_share", "max_repeats", zero("texts"), zero("tokens"), zero("copies"), zero("tokens_used"), zero("most_repeats"))
+    # the sources that are used as often as they may be: without a total these set the size of the whole mixture
+    shares = shares.join(scarce, "source").withColumn("at_cap", (F.col("_rate") > 0) & (F.col("_rate") >= F.col("max_repeats") - F.lit(1e-9))).drop("_rate")
     total = F.sum("tokens_used").over(every)
     shares = shares.withColumn("reached_share", F.when(total > 0, F.round(F.col("tokens_used") / total, 6)).otherwise(F.lit(0.0)))
     return Mix(copies, shares.withColumn("gap", F.round(F.col("reached_share") - F.col("target_share"), 6)))

@@ -35,6 +35,14 @@ def test_special_and_long_texts(enc):
         T.serialise({b"a": 0, b"b": 2})
 
 
+def test_lengths_in_one_pass(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "Việt Nam <|endoftext|>"), (4, "\x00\n")], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "2 as ids")
+    got = {r.doc_id: (r.n_tokens, r.round_trip) for r in T.round_trips(docs, *V).collect()}
+    assert got[1] == got[2] == (0, True) and all(ok for _, ok in got.values())
+    assert {k: n for k, (n, _) in got.items()} == {r.doc_id: len(r.ids) for r in T.encode_corpus(docs, *V).collect()}
+    assert T.round_trips(docs.limit(0), *V).count() == 0
+
+
 def test_corpus(spark, data):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "Việt Nam"), (4, "Việt Nam")], "doc_id long, text string").selectExpr("*", "1 as ids", "'x' as TEXT2")
     got = rows(T.encode_corpus(docs, *V))
@@ -67,6 +75,7 @@ def test_mixture(spark):
     assert all(n <= {"big": 1, "small": 3}[source[d]] for d, n in uses.items()) and not {1001, 1002, 1003, 1004} & set(uses)
     assert not (1 in uses and 1000 in uses) or dict((d, t) for d, _, t in docs)[1] != dict((d, t) for d, _, t in docs)[1000]
     assert sum(r.n_tokens for r in copies if r.source == "big") == shares["big"].tokens_used
+    assert any(r.at_cap for r in shares.values()) and not shares["gone"].at_cap
     assert rows(mix.copies) == rows(M.mix_sources(df.repartition(7), targets, *V).copies)  # the draw doesn't depend on the layout
     empty = M.mix_sources(df.limit(0), targets, *V)
     assert empty.copies.count() == 0 and empty.shares.count() == 3
