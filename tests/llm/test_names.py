@@ -3,6 +3,7 @@ from itertools import combinations
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from graphloom.llm import name_variants as V
 from graphloom.llm.components import connected_components
@@ -184,3 +185,40 @@ def test_classes_of_skills(spark, data):
     got = Q.p2_skills(spark, data)
     assert got.columns == ["record_id", "class_id", "records", "spellings"] and got.count() == spark.read.parquet(f"{data}/skill.parquet").count()
     assert got.filter("class_id > record_id or records < spellings").count() == 0
+
+
+def slipped(name, rng):
+    """A name as a careless hand types it: one slip in a word, perhaps without accents, in other case, or with its halves swapped."""
+    from graphloom.functions.canon import fold
+
+    ws = name.split()
+    i = rng.choice([k for k, w in enumerate(ws) if len(w) > 1 and w.isalpha()])
+    w, j = ws[i], rng.randrange(len(ws[i]) - 1)
+    ws[i] = rng.choice([w[:j] + w[j + 1] + w[j] + w[j + 2 :], w[:j] + w[j + 1 :], w[: j + 1] + w[j:], w[: j + 1] + rng.choice("abcdghiklmnoprstuvxy") + w[j + 2 :]])
+    out = " ".join(ws)
+    return rng.choice([out, fold(out), out.upper(), out.lower().replace(" ", "_")])
+
+
+def test_recall_of_planted_slips_of_skills_and_of_persons_without_emails(spark):
+    import random
+
+    d = "/root/testdata/sf0.01"
+    rng = random.Random(11)
+    skills = spark.read.parquet(f"{d}/skill.parquet").select("record_id", "skill_name")
+    alias = spark.read.parquet(f"{d}/alias_ref.parquet")
+    usual = {r.skill: (r.skill_name, r.record_id) for r in V.link_skills(skills, alias).join(skills, "record_id").groupBy("skill", "skill_name").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("record_id")).orderBy("n", "record_id").collect()}
+    names = sorted((n, i) for n, i in usual.values() if n and len(n.split()) >= 6 and n.isprintable() and any(c in n for c in "ệấộểơư"))
+    planted = [(10**6 + k, slipped(n, rng), i) for k, (n, i) in enumerate(names)]
+    both = skills.union(spark.createDataFrame([p[:2] for p in planted], "record_id long, skill_name string"))
+    got = {r.record_id: r.skill for r in V.link_skills(both, alias).collect()}
+    recall = sum(got[k] == got[i] for k, _, i in planted) / len(planted)
+    wrong = sum(got[k] != got[i] and any(got[k] == got[j] for _, _, j in planted if j != i) for k, _, i in planted) / len(planted)
+    assert len(planted) >= 60 and recall >= 0.9 and wrong <= 0.02, (len(planted), recall, wrong)
+
+    t = spark.read.parquet(f"{d}/teacher.parquet")
+    mail = {r.record_id: "".join(r.email.split()).lower() for r in t.collect() if r.email and r.email.strip()}
+    person = {r.record_id: r.person for r in V.link_people(t.withColumn("email", F.lit(None).cast("string"))).collect()}
+    same = [(a, b) for a, b in combinations(mail, 2) if mail[a] == mail[b]]
+    linked = [(a, b) for a, b in combinations(mail, 2) if person[a] == person[b]]
+    right = sum(mail[a] == mail[b] for a, b in linked)
+    assert right / len(same) >= 0.9 and right / len(linked) >= 0.9, (right, len(same), len(linked))
