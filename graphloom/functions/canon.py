@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from typing import Any
 
@@ -76,6 +77,15 @@ def words(text: str | None) -> list[str]:
     return even(spaced).translate(_SPACE).split()
 
 
+def _combining_class() -> str:
+    """A pattern of all combining characters, by Unicode's own data."""
+    at = [cp for cp in range(0x300, 0x1E94B) if unicodedata.combining(chr(cp))]
+    starts = [cp for cp, before in zip(at, [0, *at]) if before != cp - 1]
+    ends = [cp for cp, after in zip(at, [*at[1:], 0]) if after != cp + 1]
+    return "[" + "".join(f"{chr(x)}-{chr(y)}" for x, y in zip(starts, ends)) + "]+"
+
+
+_COMBINING = re.compile(_combining_class())
 _FOLDED: dict[str, str] = {}
 
 
@@ -85,8 +95,7 @@ def fold(text: str) -> str:
         return text
     got = _FOLDED.get(text)
     if got is None:
-        d = unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D"))
-        got = "".join(c for c in d if not unicodedata.combining(c))
-        if len(_FOLDED) < 200_000:
+        got = _COMBINING.sub("", unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")))
+        if len(text) < 40 and len(_FOLDED) < 200_000:
             _FOLDED[text] = got
     return got

@@ -57,4 +57,5 @@ def test_canonical_text_by_its_definition(text):
     even = lambda t: nfkc(nfkc(t).casefold())
     assert C.even(text) == even(text)
     assert C.canon(text) == nfkc(even(text.translate(C._STRIP)).translate(C._STRIP))
+    assert C.fold(text) == (text if text.isascii() else "".join(c for c in unicodedata.normalize("NFD", text.replace("đ", "d").replace("Đ", "D")) if not unicodedata.combining(c)))
     assert C.words(text) == even(text.translate(C._SPACE)).translate(C._SPACE).split()
