@@ -266,21 +266,21 @@ def score(measured: DataFrame, model: dict[str, dict]) -> DataFrame:
     if not model:
         return measured.withColumns({**{c: F.lit(None).cast("double") for c in ("distance", "reach", "towards")}, "spam": F.lit(False)})
     which = F.when(F.col("lang").isin(list(model)), F.col("lang")).otherwise(F.lit(""))
-
-    def number(get) -> Column:
-        return F.create_map(*[x for k, m in model.items() for x in (F.lit(k), F.lit(float(get(m))))])[which]
-
     p = len(FEATURES)
+    # a language's numbers in one array, looked up once per document
+    numbers = {k: [*m["centre"], *m["scale"], *m["pole"], *(m["inverse"] @ m["pole"]), *m["inverse"].ravel(), m["reach"]] for k, m in model.items()}
+    looked = F.create_map(*[x for k, v in numbers.items() for x in (F.lit(k), F.array(*[F.lit(float(y)) for y in v]))])[which]
+    at = lambda i: F.get("_m", F.lit(i))
     weight = F.col("n_words") / (F.col("n_words") + F.lit(PRIOR_WORDS))
-    z = {f"z{i}": weight * (F.col(f) - number(lambda m, i=i: m["centre"][i])) / number(lambda m, i=i: m["scale"][i]) for i, f in enumerate(FEATURES)}
-    within = {f"y{i}": F.least(F.col(f"z{i}"), number(lambda m, i=i: m["pole"][i])) for i in range(p)}  # more of the pole's own is no other direction
-    form = lambda v: sum((F.col(f"{v}{i}") * F.col(f"{v}{j}") * number(lambda m, i=i, j=j: m["inverse"][i, j]) for i in range(p) for j in range(p)), F.lit(0.0))
-    along = sum((F.col(f"y{i}") * number(lambda m, i=i: (m["inverse"] @ m["pole"])[i]) for i in range(p)), F.lit(0.0))
-    size = form("y")
-    towards = F.when(size > 0, along / F.sqrt(size * number(lambda m: m["reach"]))).otherwise(F.lit(0.0))
-    reach = number(lambda m: max(OUTLIER, PART**2 * m["reach"]))
+    z = {f"z{i}": weight * (F.col(f) - at(i)) / at(p + i) for i, f in enumerate(FEATURES)}
+    within = {f"y{i}": F.least(F.col(f"z{i}"), at(2 * p + i)) for i in range(p)}  # more of the pole's own is no other direction
+    form = lambda v: sum((F.col(f"{v}{i}") * F.col(f"{v}{j}") * at(4 * p + i * p + j) for i in range(p) for j in range(p)), F.lit(0.0))
+    along = sum((F.col(f"y{i}") * at(3 * p + i) for i in range(p)), F.lit(0.0))
+    pole = at(4 * p + p * p)
+    scored = measured.withColumn("_m", looked).withColumns(z).withColumns(within).withColumns({"distance": form("z"), "reach": F.greatest(F.lit(OUTLIER), F.lit(PART**2) * pole), "_size": form("y"), "_along": along})
+    scored = scored.withColumn("towards", F.when(F.col("_size") > 0, F.col("_along") / F.sqrt(F.col("_size") * pole)).otherwise(F.lit(0.0)))
     spam = (F.col("distance") > F.col("reach")) & (F.col("towards") > TOWARDS)
-    return measured.withColumns(z).withColumns(within).withColumns({"distance": form("z"), "reach": reach, "towards": towards}).withColumn("spam", F.coalesce(spam, F.lit(False))).drop(*z, *within)
+    return scored.withColumn("spam", F.coalesce(spam, F.lit(False))).select(*measured.columns, "distance", "reach", "towards", "spam")
 
 
 def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
