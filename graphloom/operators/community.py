@@ -150,19 +150,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
     """(node_id, rank) by power iteration over distinct directed edges; ranks add up to 1, what ends in sinks is shared out evenly.
 
     Shares are pre-aggregated by target before the shuffle, so a hub costs one partial sum per task. The ranks are written to the
-    shared checkpoint folder every round.
+    shared checkpoint folder every round, with each node's number of links, so sinks are known without a join.
     """
     n = nodes.select("node_id").distinct().count()
     if not n:
         return nodes.select("node_id", F.lit(0.0).alias("rank"))
-    e = edges.select("src", "dst").distinct()
-    out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
-    links = cut(e.join(out, "src"))
-    rank = nodes.select("node_id").distinct().withColumn("rank", F.lit(1.0 / n))
+    links = cut(edges.select("src", "dst").distinct())
+    out = links.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("out"))
+    rank = cut(nodes.select("node_id").distinct().join(out, "node_id", "left").select("node_id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank")))
     for _ in range(rounds):
-        given = links.join(rank.withColumnRenamed("node_id", "src"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") / F.col("out")).alias("in"))
-        lost = rank.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        rank = rank.select("node_id").join(given, "node_id", "left")
-        rank = rank.select("node_id", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + lost.scalar() / n)).alias("rank"))
-        rank = cut(rank)  # the ranks are read three times in a round, so an uncut plan would grow threefold
-    return rank
+        shares = rank.filter("out > 0").select(F.col("node_id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        given = links.join(shares, "src").groupBy(F.col("dst").alias("node_id")).agg(F.sum("share").alias("in"))
+        lost = rank.filter("out = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+        rank = rank.select("node_id", "out").join(given, "node_id", "left")
+        rank = cut(rank.select("node_id", "out", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("in", F.lit(0.0)) + lost.scalar() / n)).alias("rank")))  # read three times in a round
+    return rank.select("node_id", "rank")
