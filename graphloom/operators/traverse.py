@@ -52,6 +52,7 @@ def trails(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int =
     front = front.select("seed", "at", F.array().cast("array<string>").alias("used"), F.array().cast("array<string>").alias("rel_types"), F.array("seed").alias("node_names"))
     front = cut(front)  # read several times at every hop
     found: list[DataFrame] = []
+    have: DataFrame | None = None  # rows found so far by seed
 
     def rows_of(step: DataFrame, hop: int, node_id: str) -> DataFrame:
         row = step.select("seed", F.col("n_name").alias("name"), F.col("n_label").alias("label"), F.col("n_code").alias("code"), F.col(node_id).alias("node_id"), F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("node_names", F.array("n_name")).alias("node_names"), F.lit(hop).alias("hops"))
@@ -83,7 +84,7 @@ def trails(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int =
                 found.append(last_step(front, near, kinds, hop))
                 break
             each = front.join(kinds, "at").groupBy("seed", "node_names", "rel_types").agg(F.max(F.col("kinds") - (hop - 1)).alias("n")).filter("n > 0")
-            given = [each.select("seed", "n"), *(x.select("seed", F.lit(1).alias("n")) for x in found)]
+            given = [each.select("seed", "n"), *([] if have is None else [have])]
             filled = reduce(DataFrame.unionByName, given).groupBy("seed").agg(F.sum("n").alias("n")).filter(F.col("n") >= limit).select("seed", F.lit(True).alias("filled"))
             front = cut(front.join(filled, "seed", "left"))
             found.append(last_step(front.filter("filled"), near, kinds, hop))
@@ -95,8 +96,8 @@ def trails(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_hops: int =
         found.append(rows_of(step.filter(F.col("n_label").isin(labels)) if labels else step, hop, "next"))
         front = step.select("seed", F.col("next").alias("at"), "used", F.concat("rel_types", F.array("rel_type")).alias("rel_types"), F.concat("node_names", F.array("n_name")).alias("node_names"))
         if limit:
-            full = reduce(DataFrame.unionByName, found).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
-            front = front.join(full.select("seed"), "seed", "left_anti")
+            have = cut(reduce(DataFrame.unionByName, found).groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
+            front = front.join(have.filter(F.col("n") >= limit).select("seed"), "seed", "left_anti")
     every = reduce(DataFrame.unionByName, found)
     order = ["hops", F.array_join("node_names", "|"), F.array_join("rel_types", "|"), "name", "label", F.coalesce("code", F.lit(""))]
     return first_of(every, ["seed"], order, limit) if limit else every
