@@ -1,8 +1,10 @@
+import itertools
+
 from conftest import rows
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import joined
-from graphloom.operators import aggregate, community, context, match, providers, repair, route, traverse, upsert
+from graphloom.operators import aggregate, community, containing, context, match, providers, repair, route, traverse, upsert
 from graphloom.sources import fixture_graph
 
 
@@ -221,6 +223,34 @@ def test_limited_trails_against_brute_force(spark):
             assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in brute_trails(nodes, edges, seeds, 3, labels, limit).items() if v}
 
 
+def broadcast(df):
+    """The parts of the plan that are broadcast, as text."""
+    lines, out = df._jdf.queryExecution().executedPlan().toString().split("\n"), []
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for i, line in enumerate(lines):
+        if line.lstrip(" :+-*").startswith("BroadcastExchange"):
+            out.append("\n".join(itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :])))
+    return out
+
+
+def stored_graph(spark, path):
+    n, e = graph(spark, [("SUBJECT", f"deep blue {i}", f"P{i}") for i in range(9)] + [("SKILL", "k", None), ("TEACHER", "t", None)], [(f"SUBJECT:deep blue {i}", "SKILL:k", "PROVIDES") for i in range(9)] + [("TEACHER:t", f"SUBJECT:deep blue {i}", "TEACH") for i in range(9)])
+    for name, df in (("n", n), ("e", e)):
+        df.write.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/n"), spark.read.parquet(f"{path}/e")
+
+
+def test_grams_of_names_are_never_broadcast(spark, tmp_path, monkeypatch):
+    n, e = stored_graph(spark, tmp_path)
+    kw = spark.createDataFrame([("BLUE", 0), ("7", 1), ("no", 2)], "kw string, kw_pos int")
+    want = sorted([("BLUE", f"k|deep blue {i}") for i in range(9)] + [("7", "k|deep blue 7")])
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(containing, "SENT", sent, raising=False)
+        found = match.match(n, e, kw, "SUBJECT", "SKILL")
+        assert not any("explode" in x for x in broadcast(found))
+        assert sorted((r.kw, "|".join(reversed(r.node_names))) for r in found.collect()) == want
+
+
 def test_path_depth_is_searched_to_the_end(spark):
     n, e = graph(spark, [("SKILL", f"k{i}", None) for i in range(30)], [(f"SKILL:k{i}", f"SKILL:k{i + 1}", "R") for i in range(26)])
     pairs = spark.createDataFrame([("far", "SKILL:k0", "SKILL:k26"), ("none", "SKILL:k0", "SKILL:k28"), ("self", "SKILL:k29", "SKILL:k29"), ("gone", "x", "SKILL:k0")], "pair_id string, a string, b string")
