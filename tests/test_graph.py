@@ -251,6 +251,16 @@ def test_grams_of_names_are_never_broadcast(spark, tmp_path, monkeypatch):
         assert sorted((r.kw, "|".join(reversed(r.node_names))) for r in found.collect()) == want
 
 
+def test_nodes_matched_by_code_are_never_broadcast(spark, tmp_path, monkeypatch):
+    n, e = stored_graph(spark, tmp_path)
+    kw = spark.createDataFrame([("P3", 0), ("blue 4", 1), (None, 2)], "kw string, kw_pos int")
+    for sent in (1_000_000, 0):
+        monkeypatch.setattr(containing, "SENT", sent, raising=False)
+        assert not any("FileScan" in x for x in broadcast(containing.named(n, kw)))
+        found = match.match(n, e, kw, "SUBJECT", "TEACHER")
+        assert rows(found.select("kw", "name", "node_names")) == [("P3", "t", ["t", "deep blue 3"]), ("blue 4", "t", ["t", "deep blue 4"])]
+
+
 def test_path_depth_is_searched_to_the_end(spark):
     n, e = graph(spark, [("SKILL", f"k{i}", None) for i in range(30)], [(f"SKILL:k{i}", f"SKILL:k{i + 1}", "R") for i in range(26)])
     pairs = spark.createDataFrame([("far", "SKILL:k0", "SKILL:k26"), ("none", "SKILL:k0", "SKILL:k28"), ("self", "SKILL:k29", "SKILL:k29"), ("gone", "x", "SKILL:k0")], "pair_id string, a string, b string")
