@@ -174,6 +174,23 @@ def test_ask_questions_walks_three_hops(spark, data):
     assert two != three and {k: got[k] for k in three} == three
 
 
+def test_questions_read_the_graph_once(spark):
+    from graphloom.operators.ask import ask
+
+    n, e = graph(spark, [("MAJOR", "law", "7480007"), ("SUBJECT", "s", "S1"), ("CAREER", "c", None)], [("MAJOR:law", "SUBJECT:s", "OFFERS"), ("MAJOR:law", "CAREER:c", "LEADS_TO")])
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    q = spark.createDataFrame([("a2", "Ngành nào có nhiều môn học nhất?"), ("a3", "Có bao nhiêu nghề?"), ("a4", "Ngành 7480007 có những môn nào?"), ("a5", "Ngành 7480007 dẫn tới nghề nào?")], "query_id string, query string")
+    got = {r.query_id: [x.entities[0] for x in r.retrieved_nodes] for r in ask(n.mapInArrow(counted, n.schema), e.mapInArrow(counted, e.schema), q).collect()}
+    assert seen.value == 5
+    assert got["a2"] == ["law"] and got["a3"] == ["CAREER"] and got["a4"][0] == "s" and got["a5"][0] == "c"
+
+
 def test_the_context_has_sixty_steps_the_rule_negation_and_community_and_the_record_twenty(spark):
     q = spark.createDataFrame([("q1", "?", None, "say why", ["x", "y"], "L2_ACADEMIC"), ("q2", "?", None, None, [], None)], "query_id string, query string, generated_answer string, answer_rule string, negated array<string>, community string")
     n = spark.createDataFrame([("q1", 1, "a", "MAJOR", "7", 0)], "query_id string, position int, name string, label string, code string, hops int")
